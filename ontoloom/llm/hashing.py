@@ -5,8 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE, BASE2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 _BYTES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
 _MIX = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
 _SEPARATOR = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -23,6 +22,17 @@ def _power(base: int, n: int) -> np.ndarray:
     return got
 
 
+def _inverse(base: int) -> int:
+    return pow(base, -1, 1 << 64)
+
+
+def stretches(a: np.ndarray, left: np.ndarray, right: np.ndarray, base: int = BASE) -> np.ndarray:
+    """Hash (not mixed) of the bytes [left, right) of a uint8 array."""
+    run = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(_BYTES[a] * _power(base, len(a))[: len(a)], out=run[1:])
+    return (run[right] - run[left]) * _power(_inverse(base), len(a))[left]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
     h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
@@ -37,8 +47,8 @@ def words(text: bytes) -> np.ndarray:
     if not len(start):
         return np.zeros(0, np.uint64)
     run = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(_BYTES[a] * _power(_BASE, len(a))[: len(a)], out=run[1:])
-    return mix((run[end] - run[start]) * _power(_INVERSE, len(a))[start] + (end - start).astype(np.uint64))
+    np.cumsum(_BYTES[a] * _power(BASE, len(a))[: len(a)], out=run[1:])
+    return mix((run[end] - run[start]) * _power(_inverse(BASE), len(a))[start] + (end - start).astype(np.uint64))
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -55,7 +65,7 @@ def shingles(text: bytes, n: int) -> np.ndarray:
 
 def windows(a: np.ndarray, length: int) -> np.ndarray:
     """Hash (not mixed) of every run of `length` bytes of a uint8 array, by doubling."""
-    run, n, power = _BYTES[a], 1, _BASE
+    run, n, power = _BYTES[a], 1, BASE
     out, have = None, 0
     while True:
         if length & n:

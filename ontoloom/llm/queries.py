@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, mixing, ngram_join, packing, quality_rules, sentence_dedup, toxicity
+from . import exact_dedup, html_text, mixing, ngram_join, packing, quality_rules, sentence_dedup, suffix_dedup, toxicity
 from .common import table
 
 
@@ -26,6 +27,12 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return got.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +50,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_sentence_span_dedup, op3_pack_sequences, op5_ngram_jaccard_join, op7_toxicity, op8_quality_rules, op9_exact_dedup, op10_html_text)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_sentence_span_dedup, op3_pack_sequences, op5_ngram_jaccard_join, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_exact_dedup, op10_html_text)}
 
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
