@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, mixing, ngram_join, packing, quality_rules, sentence_dedup, suffix_dedup, toxicity
+from . import exact_dedup, html_text, lm_score, mixing, ngram_join, packing, quality_rules, sentence_dedup, suffix_dedup, toxicity
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_sentence_span_dedup, op3_pack_sequences, op5_ngram_jaccard_join, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_exact_dedup, op10_html_text)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_sentence_span_dedup, op3_pack_sequences, op4_lm_score, op5_ngram_jaccard_join, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_exact_dedup, op10_html_text)}
 
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

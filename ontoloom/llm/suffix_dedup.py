@@ -44,8 +44,8 @@ BLOCK = "block long, n_bytes long, data binary, ids binary, sizes binary"
 ASKED = "bucket int, block long, keys binary, checks binary, docs binary, ids binary, low binary, high binary"
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """Rows of about BLOCK_BYTES of text: its bytes compressed, the doc_ids and the sizes."""
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of about `block_bytes` of text: its bytes compressed, the doc_ids and the sizes."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, made = TaskContext.get().partitionId(), 0
@@ -61,7 +61,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                 ids.append(LAST if pd.isna(doc_id) else int(doc_id))
                 texts.append((text or "").encode("utf-8", "replace"))
                 total += len(texts[-1])
-                if total >= BLOCK_BYTES:
+                if total >= block_bytes:
                     yield row()
                     ids, texts, total, made = [], [], 0, made + 1
         if ids:
@@ -245,13 +245,13 @@ def _asked(requests: DataFrame, name: str) -> DataFrame:
     return written(answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name)))
 
 
-def suffix_dedup(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def suffix_dedup(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, keys_per_bucket: int = KEYS_PER_BUCKET) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs) and kept (remaining bytes) of every row."""
     if depth <= GRAM:
         raise ValueError(f"depth must be over {GRAM} bytes")
-    stored = written(blocks(docs))
+    stored = written(blocks(docs, block_bytes))
     total = stored.agg(F.sum("n_bytes")).first()[0] or 0
-    n_buckets = max(1, int(total * 2 / (depth - GRAM + 2) / KEYS_PER_BUCKET) + 1)
+    n_buckets = max(1, int(total * 2 / (depth - GRAM + 2) / keys_per_bucket) + 1)
     answers: list[DataFrame] = []
 
     def replay(row) -> Block:
