@@ -15,6 +15,7 @@ empty result; extra columns are ignored; a null doc_id is carried.
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ CAPACITY = 2048
 MAX_PIECE = 512
 END_ID = 1
 PIECES_PER_BLOCK = 1024
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -40,37 +41,38 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds:
-    """Little-endian uint32 ids of texts. This tokenizer drops white space and never merges across
-    it, so a text's ids are those of its words joined, and words are looked up once. Texts
-    with a separator that only Python takes for white space, or with text of a special token, are encoded whole."""
+class WordIds(dict):
+    """Little-endian uint32 ids of words. This tokenizer drops white space and never merges across it, so a
+    text's ids are those of its words joined; the first CACHED_WORDS words a worker meets are kept. Printable ASCII words go
+    straight to the tokenizer's model, piece by piece; other words are encoded by the tokenizer, as are whole
+    texts with a separator that only Python takes for white space, or with a special token's text."""
 
     unusual = re.compile(r"[\x1c-\x1f]|<\|")
+    pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # fixed: the tokenizer's own pattern, for ASCII
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if self.unusual.search(text):
-                out += self._encode([text])
-                continue
-            words = text.split()
-            new = [w for w in set(words) if w not in self.words]
-            if new:
-                if len(self.words) > CACHED_WORDS:
-                    self.words.clear()
-                    new = list(set(words))
-                self.words.update(zip(new, self._encode(new)))
-            out.append(b"".join(map(self.words.__getitem__, words)))
-        return out
+        self.model = self.tokenizer.model
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            low = word.lower()
+            parts = [low] if low.isalpha() else self.pieces.findall(low)
+            ids = np.array([t.id for p in parts for t in self.model.tokenize(p)], "<u4").tobytes()
+        else:
+            ids = self.encode(word)
+        if len(self) < CACHED_WORDS:
+            self[word] = ids
+        return ids
+
+    def text(self, text: str) -> bytes:
+        return self.encode(text) if self.unusual.search(text) else b"".join(map(self.__getitem__, text.split()))
 
 
 _CODERS: dict[str, WordIds] = {}
@@ -84,7 +86,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, max_piece:
         coder = _CODERS.get(tokenizer) or _CODERS.setdefault(tokenizer, WordIds(tokenizer))
         for pdf in batches:
             rows = []
-            for doc_id, ids in zip(pdf.doc_id, coder.batch([t or "" for t in pdf.text])):
+            for doc_id, ids in zip(pdf.doc_id, (coder.text(t or "") for t in pdf.text)):
                 ids += end
                 n, at = len(ids) // 4, 0
                 while at < n:
