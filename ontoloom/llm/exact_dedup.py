@@ -180,3 +180,14 @@ def exact_dedup(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> DataFr
     return rows.join(keys, "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+def one_of_each(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
+    """The rows of docs that stay, all columns; rows that also share the doc_id count as one row."""
+    stays = exact_dedup(docs, rows_per_shard).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
+    stays = written(stays)
+    own = F.unhex(F.sha2(lower_ascii(F.col("text")), 256))
+    kept = docs.withColumn("_digest_", own).join(stays.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest_") == F.col("_digest")), "left_semi")
+    if stays.distinct().count() < stays.count():
+        kept = kept.dropDuplicates(["doc_id", "_digest_"])
+    return kept.drop("_digest_")

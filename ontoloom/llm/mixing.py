@@ -144,3 +144,16 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[fl
     placed = sizes.withColumn("nth", F.row_number().over(order)).join(cells, ["source_key", "size", "salt"])
     copies = F.col("whole") + F.when(F.col("before") + F.col("nth") <= F.col("extra"), 1).otherwise(0)
     return placed.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def taken(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as it is taken; documents without words, which have no share, stay once."""
+    copies = written(mix(docs, share, cap, weights).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "copies"))
+    rows = docs
+    match = F.col("doc_id").eqNullSafe(F.col("_id"))
+    if copies.select("_id").distinct().count() < copies.count():  # rows that share a doc_id are told apart by size and place
+        copies = copies.withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy("_size")))
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(n_words(F.col("text")))))
+        match = match & (F.col("_n") == F.col("_nth"))
+    times = F.when(F.col("_size") == 0, 1).otherwise(F.col("copies")).cast("int")
+    return rows.join(copies, match).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)

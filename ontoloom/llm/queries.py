@@ -53,8 +53,14 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_sentence_span_dedup, op3_pack_sequences, op4_lm_score, op5_ngram_jaccard_join, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_exact_dedup, op10_html_text)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_sentence_span_dedup, op3_pack_sequences, op4_lm_score, op5_ngram_jaccard_join, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_exact_dedup, op10_html_text, pipeline)}
 
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
