@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, lower_ascii
 
 SPAN = 2
-MIN_WORDS = 12
+MIN_WORDS = 8
 #: Splits behind these places; Java's look-behind keeps the separator with its sentence.
 BREAKS = r"(?<=[.!?][\x20\x09\x0B-\x0D])|(?<=\n)"
 
