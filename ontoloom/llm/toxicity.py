@@ -17,6 +17,7 @@ ignored. Labels, lang, source and doc_id never enter a score.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,9 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 BITS = 20
 GRAMS = (3, 4, 5)
-MAX_TOXIC, MAX_CLEAN = 2500, 5000
+MAX_TOXIC, MAX_CLEAN = 8000, 16_000
+MIN_Z, RIDGE = 3.0, 1e-3
 THRESHOLD = 0.7
 
 
@@ -64,42 +68,67 @@ class Grams:
         return idx[self.mark[idx] == at].astype(np.int32)
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> DataFrame:
-    """(toxic, grams) of the bounded training sample."""
+def picked(labels: DataFrame, max_toxic: int, max_clean: int) -> DataFrame:
+    """(doc_id, toxic) of the bounded training sample, the first of each class by a hash."""
     known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    picked = known.where("toxic = 1").orderBy(*order).limit(max_toxic).unionByName(known.where("toxic <> 1").orderBy(*order).limit(max_clean))
+    toxic, clean = known.where("toxic = 1"), known.where("toxic <> 1")
+    return written(toxic.orderBy(*order).limit(max_toxic).unionByName(clean.orderBy(*order).limit(max_clean)).select("doc_id", F.col("toxic").cast("int").alias("toxic")))
 
-    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = Grams()
-        for pdf in batches:
-            yield pd.DataFrame({"toxic": pdf.toxic, "grams": [of(t) for t in pdf.text]})
 
-    # at most max_toxic + max_clean (id, label) rows are broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    return rows.mapInPandas(grams, "toxic int, grams array<int>")
+def document_counts(rows: DataFrame) -> tuple[np.ndarray, int, int]:
+    """By n-gram, the documents of class 0 and of class 1 that have it (2 x 2**BITS), and the documents of each class."""
+    size = 1 << 17
 
-
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, min_z: float = 3.0, steps: int = 300, ridge: float = 1e-3) -> Model:
-    rows = sample(docs, labels, max_toxic, max_clean).toPandas()
-    y = rows.toxic.to_numpy(np.float64)
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, got, n = Grams(), np.zeros((2, 1 << BITS), np.uint32), np.zeros(2, np.uint32)
+        for pdf in batches:
+            for toxic, text in zip(pdf.toxic, pdf.text):
+                got[toxic][of(text)] += 1
+                n[toxic] += 1
+        if n.any():
+            flat = got.ravel()
+            parts = [zlib.compress(flat[i : i + size].tobytes(), 1) for i in range(0, len(flat), size)]
+            yield pd.DataFrame({"part": range(len(parts) + 1), "counts": [*parts, zlib.compress(n.tobytes())]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(zlib.decompress(c), np.uint32) for c in pdf.counts], axis=0, dtype=np.int64)
+        return pd.DataFrame({"part": [pdf.part.iloc[0]], "counts": [total.tobytes()]})
+
+    got = rows.mapInPandas(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").toPandas().sort_values("part")
+    if not len(got):
+        return np.zeros((2, 1 << BITS), np.int64), 0, 0
+    parts = [np.frombuffer(c, np.int64) for c in got.counts]
+    return np.concatenate(parts[:-1]).reshape(2, -1), int(parts[-1][0]), int(parts[-1][1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, min_z: float = MIN_Z, steps: int = 300, ridge: float = RIDGE) -> Model:
+    spark = docs.sparkSession
+    # at most max_toxic + max_clean (doc_id, label) rows are broadcast
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked(labels, max_toxic, max_clean)), "doc_id").select("text", "toxic")
+    (in0, in1), n0, n1 = document_counts(rows)
     weights = np.zeros(1 << BITS, np.float32)
-    n1, n0 = int((y == 1).sum()), int((y != 1).sum())
     if not n1 or not n0:
         return Model(-np.inf, weights)
-    in1, in0 = (np.zeros(1 << BITS) for _ in range(2))
-    for t, g in zip(y, rows.grams):
-        (in1 if t == 1 else in0)[g] += 1
     ratio = np.log((in1 + 1) / (n1 + 2)) - np.log((in0 + 1) / (n0 + 2))
     error = np.sqrt(1 / (in1 + 1) - 1 / (n1 + 2) + 1 / (in0 + 1) - 1 / (n0 + 2))
     ratio[np.abs(ratio) < min_z * error] = 0
     used = np.flatnonzero(ratio)
     if not len(used):
         return Model(float(np.log(n1 / n0)), weights)
+    keep = spark.sparkContext.broadcast(ratio != 0)
+
+    def telling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = Grams()
+        for pdf in batches:
+            grams = [g[keep.value[g]] for g in map(of, pdf.text)]
+            yield pd.DataFrame({"toxic": pdf.toxic, "grams": [g.tobytes() for g in grams]})
+
+    got = rows.mapInPandas(telling, "toxic int, grams binary").toPandas()
+    y, grams = got.toxic.to_numpy(np.float64), [np.frombuffer(g, np.int32) for g in got.grams]
     column = np.full(1 << BITS, -1, np.int32)
     column[used] = np.arange(len(used))
-    kept = [c[c >= 0] for c in (column[g] for g in rows.grams)]
-    del rows
+    kept = [column[g] for g in grams]
     doc, col = np.repeat(np.arange(len(kept)), [len(c) for c in kept]), np.concatenate(kept)
     r = ratio[used]
     scaled = r[col]
