@@ -1,6 +1,6 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the distinct hashed character 3-, 4- and 5-grams of the lower-cased whole text.
+Features are the distinct hashed character 4-, 5- and 6-grams of the lower-cased whole text.
 Each feature f carries the log ratio of its smoothed document rates in the two classes,
 r_f = log((n1+1)/(N1+2)) - log((n0+1)/(N0+2)); ratios within `min_z` standard errors of zero
 become zero. A logistic regression on the presence vector scaled by r gives the score.
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 BITS = 20
-GRAMS = (3, 4, 5)
+GRAMS = (4, 5, 6)
 MAX_TOXIC, MAX_CLEAN = 8000, 16_000
-MIN_Z, RIDGE = 3.0, 1e-3
+MIN_Z, RIDGE = 3.0, 1e-4
 THRESHOLD = 0.7
 
 
