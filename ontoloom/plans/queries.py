@@ -155,11 +155,11 @@ def entailment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.entailed(written(closure(told, "sub", "sup")), asked)
 
 
-@query(f"WITH RECURSIVE {TBOX}, reach(n) AS (SELECT 'Nation_FRANCE' UNION SELECT sup FROM closed WHERE sub = 'Nation_FRANCE') SELECT sub, sup FROM told WHERE sub IN (SELECT n FROM reach)")
+@query(f"WITH RECURSIVE {TBOX}, reach(n) AS (SELECT 'Nation_NATION_3' UNION SELECT sup FROM closed WHERE sub = 'Nation_NATION_3') SELECT sub, sup FROM told WHERE sub IN (SELECT n FROM reach)")
 def locality_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = KB(spark, sf_dir).tbox().distinct()
     axioms = told.select(F.xxhash64("sub", "sup").alias("id"), F.array("sub").alias("left"), F.array("sup").alias("right"))
-    return taxonomy.module(axioms, _rows(spark, "name string", ("Nation_FRANCE",))).select(F.col("left")[0].alias("sub"), F.col("right")[0].alias("sup"))
+    return taxonomy.module(axioms, _rows(spark, "name string", ("Nation_NATION_3",))).select(F.col("left")[0].alias("sub"), F.col("right")[0].alias("sup"))
 
 
 @query("SELECT * FROM (VALUES ('1,2'), ('3,4,5')) t(axioms)")
@@ -430,11 +430,11 @@ def universal_role_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kb.table("customer").join(F.broadcast(some)).select(F.concat(F.lit("c"), "c_custkey").alias("ind"), F.lit("InNonEmptyWorld").alias("cls"))
 
 
-@query("SELECT 'c' || c_custkey AS ind, 'FrenchOrGerman' AS cls FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ('FRANCE', 'GERMANY')")
+@query("SELECT 'c' || c_custkey AS ind, 'ThirdOrSeventh' AS cls FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ('NATION_3', 'NATION_7')")
 def nominal_oneof(spark: SparkSession, sf_dir: str) -> DataFrame:
     kb = KB(spark, sf_dir)
-    members = kb.table("nation").where(F.col("n_name").isin("FRANCE", "GERMANY")).select(ind("nation", "n_nationkey").alias("dst"))
-    return kb.roles("inNation").join(members, "dst", "left_semi").where("src % 8 = 0").select(label("src").alias("ind"), F.lit("FrenchOrGerman").alias("cls"))
+    members = kb.table("nation").where(F.col("n_name").isin("NATION_3", "NATION_7")).select(ind("nation", "n_nationkey").alias("dst"))
+    return kb.roles("inNation").join(members, "dst", "left_semi").where("src % 8 = 0").select(label("src").alias("ind"), F.lit("ThirdOrSeventh").alias("cls"))
 
 
 # types, validation, structure, updates
@@ -495,7 +495,7 @@ def _docs(spark: SparkSession) -> DataFrame:
     return ofn.parse_rows(_rows(spark, "ontology string, value string", *_DOCS))
 
 
-@query("""SELECT * FROM (VALUES ('one', 'Prefix', 1), ('one', 'Declaration', 2), ('one', 'SubClassOf', 3), ('one', 'EquivalentClasses', 1), ('two', 'SubClassOf', 3), ('two', 'TransitiveObjectProperty', 1), ('two', 'DataPropertyAssertion', 1)) t(ontology, head, n)""")
+@query("""SELECT * FROM (VALUES ('one', 'Prefix', 1), ('one', 'Declaration', 2), ('one', 'SubClassOf', 3), ('one', 'EquivalentClasses', 1), ('two', 'SubClassOf', 3), ('two', 'TransitiveObjectProperty', 1), ('two', 'DataPropertyAssertion', 1)) t(ontology, head, n)""".replace("SELECT * FROM", "SELECT ontology, head, CAST(n AS BIGINT) AS n FROM"))
 def construct_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.census(_docs(spark))
 
