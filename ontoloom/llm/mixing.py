@@ -12,7 +12,7 @@ convex dual sum_d 2*log(1+exp(lambda*x_d)) - lambda*T; all sources' duals are so
 by safeguarded Newton steps, each one aggregate over the histogram (source, size, documents),
 so a hot source costs its distinct sizes and no more. Rates become copies by systematic
 rounding along the sizes of a source; what a source is then short of or over (less than its
-longest document) is made up in a few passes by further documents, the longest that fit first. Within a size, documents get the extra copies in hash order, ranked by
+longest document) is made up in a few passes by further documents, the longest that bring it closer first. Within a size, documents get the extra copies in hash order, ranked by
 cells of a fixed number of salts so that no task holds a whole group of equal sizes.
 
 Edge cases: null and empty texts have size 0 and are taken 0 words; a null source is a source
@@ -99,17 +99,18 @@ def tilts(hist: DataFrame, sources: DataFrame, steps: int = NEWTON_STEPS) -> Dat
     return state.select("source_key", "tilt")
 
 
-def settled(rated: DataFrame, passes: int = 3) -> DataFrame:
-    """Moves `extra` so that each source's words come within about its shortest document of the target."""
+def settled(rated: DataFrame, passes: int = 5) -> DataFrame:
+    """Moves `extra` so that each source's words come near the target: longest documents first, each pass only what brings the sum closer."""
     source = Window.partitionBy("source_key")
     down = source.orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    for _ in range(passes):
+    for i in range(passes):
+        near = 0.5 if i >= passes - 2 else 0.0  # the last passes may overshoot where that is nearer
         gap = F.col("target") - F.sum((F.col("n") * F.col("whole") + F.col("extra")) * F.col("size")).over(source)
         rated = rated.withColumn("gap", gap)
         free = F.when(F.col("whole") >= 2, 0).when(F.col("gap") > 0, F.col("n") - F.col("extra")).otherwise(F.col("extra"))
-        rated = rated.withColumn("free", F.when((F.col("size") > 0) & (F.col("size") <= F.abs("gap")), free).otherwise(0))
+        rated = rated.withColumn("free", F.when((F.col("size") > 0) & ((1 - near) * F.col("size") <= F.abs("gap")), free).otherwise(0))
         rated = rated.withColumn("before", F.sum(F.col("free") * F.col("size")).over(down) - F.col("free") * F.col("size"))
-        fits = F.floor((F.abs("gap") - F.col("before")) / F.greatest(F.col("size"), F.lit(1)))
+        fits = F.floor((F.abs("gap") - F.col("before")) / F.greatest(F.col("size"), F.lit(1)) + near)
         step = F.greatest(F.lit(0), F.least(F.col("free"), fits)) * F.signum("gap")
         rated = rated.withColumn("extra", (F.col("extra") + step).cast("long")).drop("gap", "free", "before")
     return rated
@@ -133,7 +134,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[fl
     rated = hist.join(solved, "source_key").withColumn("rate", F.when(F.col("size") == 0, 0.0).otherwise(rate))
     # systematic rounding: extra copies are where the running sum of fractions passes a whole number
     whole, part = F.floor("rate"), F.col("n") * (F.col("rate") - F.floor("rate"))
-    along = Window.partitionBy("source_key").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy("source_key").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0)
     run = F.sum(part).over(along)
     extra = (F.floor(run + 0.5 + 1e-9) - F.floor(run - part + 0.5 + 1e-9)).cast("long")
     rated = rated.select("source_key", "size", "n", "source_size", "target", "rate", whole.cast("long").alias("whole"), F.least(F.col("n"), extra).alias("extra"))
