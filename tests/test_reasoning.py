@@ -5,7 +5,7 @@ import pytest
 
 from ontoloom.operators import abox, el, features, rbox, rules, taxonomy, types
 from ontoloom.plans.fixpoint import Deferred, closure, components, fixpoint
-from ontoloom.sources import answers, ofn
+from ontoloom.sources import answers, ofn, owlxml, triples
 from ontoloom.streaming import incremental
 
 
@@ -155,3 +155,25 @@ def test_irregular_chains(spark):
     none = spark.createDataFrame([], "sub string, sup string")
     assert rbox.irregular(none, chains).count() == 0
     assert {r.role for r in rbox.irregular(edges_df(spark, [("t", "r")]), chains).collect()} == {"t"}
+
+
+def test_owlxml_and_functional_syntax_agree(spark):
+    xml = """<Ontology xmlns="http://www.w3.org/2002/07/owl#"><Prefix name="" IRI="http://e/"/><Declaration><Class IRI="http://e/A"/></Declaration>
+    <SubClassOf><Class IRI="http://e/A"/><ObjectSomeValuesFrom><ObjectProperty IRI="http://e/r"/><Class abbreviatedIRI=":B"/></ObjectSomeValuesFrom></SubClassOf>
+    <SubClassOf><Class abbreviatedIRI=":B"/><ObjectMinCardinality cardinality="2"><ObjectProperty abbreviatedIRI=":r"/></ObjectMinCardinality></SubClassOf></Ontology>"""
+    text = "Prefix(:=<http://e/>) Ontology(Declaration(Class(<http://e/A>)) SubClassOf(<http://e/A> ObjectSomeValuesFrom(<http://e/r> :B)) SubClassOf(:B ObjectMinCardinality(2 :r)))"
+    assert owlxml.axioms_of(xml) == ofn.axioms_of(text)
+
+
+def test_turtle_triples_become_axioms(spark):
+    text = """@prefix : <http://e/> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
+    :A a owl:Class ; rdfs:subClassOf :B , [ a owl:Restriction ; owl:onProperty :r ; owl:someValuesFrom :C ] . # note
+    :r a owl:ObjectProperty, owl:TransitiveProperty . :x a :A ; :r :y . :x :odd "v"@en ."""
+    got, rest = triples.axioms(triples.parse_rows(spark.createDataFrame([("o", text)], "ontology string, value string")))
+    rows = {(r.head, tuple(r.args)) for r in got.collect()}
+    e = lambda x: f"<http://e/{x}>"
+    assert rows == {
+        ("Declaration", (f"Class({e('A')})",)), ("Declaration", (f"ObjectProperty({e('r')})",)), ("SubClassOf", (e("A"), e("B"))), ("TransitiveObjectProperty", (e("r"),)),
+        ("SubClassOf", (e("A"), f"ObjectSomeValuesFrom({e('r')} {e('C')})")), ("ClassAssertion", (e("A"), e("x"))), ("ObjectPropertyAssertion", (e("r"), e("x"), e("y"))),
+    }
+    assert [(r.p, r.o) for r in rest.collect()] == [(e("odd"), '"v"@en')]
