@@ -79,3 +79,34 @@ def windows(a: np.ndarray, length: int) -> np.ndarray:
             return out
         run = run[:-n] * U(power) + run[n:]
         n, power = 2 * n, power * power % (1 << 64)
+
+
+def block_words(a: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of texts that lie back to back in `a`, and where each word starts; a text's start ends the word before."""
+    inside = ~_SEPARATOR[a]
+    before, after = np.concatenate(([False], inside[:-1])), np.concatenate((inside[1:], [False]))
+    cut = start[(start > 0) & (start < len(a))]
+    before[cut] = False
+    after[cut - 1] = False
+    left, right = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    return mix(stretches(a, left, right) + (right - left).astype(np.uint64)), left
+
+
+def block_shingles(a: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> list[np.ndarray]:
+    """`shingles` of each of the texts, hashed in one go."""
+    w, at = block_words(a, start)
+    first, last = np.searchsorted(at, start), np.searchsorted(at, end)
+    m = max(0, len(w) - n + 1)
+    h = np.full(m, n, np.uint64)
+    for i in range(n if m else 0):
+        h += w[i : i + m] * _MIX[i]
+    h = mix(h)
+    out = []
+    for f, e in zip(first.tolist(), last.tolist()):
+        if e - f >= n:
+            out.append(np.unique(h[f : e - n + 1]))
+        elif e > f:
+            out.append(mix(np.array([e - f], np.uint64) + np.add.reduce(w[f:e] * _MIX[: e - f])))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out

@@ -122,12 +122,13 @@ def test_linked_sets_share_a_cell():
 
 def test_rtree_finds_all_that_the_bound_admits():
     rng = np.random.default_rng(1)
-    points = rng.poisson(4, (500, ngram_join.GROUPS))
+    points = rng.poisson(2, (500, ngram_join.GROUPS))
     points[250:] = points[:250] + (rng.random((250, ngram_join.GROUPS)) < 0.1)
-    size = points.sum(1)
+    points = points.astype(np.uint8)
+    size = points.sum(1, dtype=np.int64)
     tree = ngram_join.RTree(points, size)
     for q in range(0, 500, 7):
-        bound = np.minimum(points, points[q]).sum(1)
+        bound = np.minimum(points, points[q]).sum(1, dtype=np.int64)
         fits = (bound >= ngram_join.need(size, size[q])) & (100 * size >= 85 * size[q]) & (85 * size <= 100 * size[q])
         assert set(tree.search(points[q], int(size[q]))) == set(np.flatnonzero(fits))
 
@@ -175,3 +176,12 @@ def test_sentence_dedup(spark, odd, nothing):
     assert got[2].text == "Another start.\nAnother end." and got[2].n_removed == 3 and got[4].text == ""
     assert sentence_dedup.sentence_dedup(nothing).count() == 0
     assert sentence_dedup.sentence_dedup(odd).count() == odd.count()
+
+
+def test_block_hashes_equal_single_ones():
+    from ontoloom.llm import hashing
+
+    texts = [b"a b c d e f", b"", b"one", b"x y z", b" lead and trail  ", b"joined", b"up next to it now and then"]
+    end = np.cumsum([len(t) for t in texts])
+    got = hashing.block_shingles(np.frombuffer(b"".join(texts), np.uint8), end - [len(t) for t in texts], end, 4)
+    assert all(np.array_equal(g, hashing.shingles(t, 4)) for g, t in zip(got, texts))
