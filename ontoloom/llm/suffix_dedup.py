@@ -79,7 +79,7 @@ def _slide(x: np.ndarray, width: int, least) -> np.ndarray:
     return least(x[: len(x) - (width - n)], x[width - n :]) if width > n else x
 
 
-def _flags(answers: list, n: int) -> np.ndarray:
+def flags(answers: list, n: int) -> np.ndarray:
     """Bits of all buckets in key order, as bytes."""
     some = isinstance(answers, (list, np.ndarray))
     got = [np.frombuffer(x["bits"], np.uint8) for x in sorted(answers, key=lambda x: x["bucket"])] if some else []
@@ -132,7 +132,7 @@ class Block:
 
     def after_first(self, answers) -> None:
         keys = self.first_digit()
-        self.keep((self.inside | (_flags(answers, len(keys)) > 0))[self.group] if len(keys) else np.zeros(0, bool))
+        self.keep((self.inside | (flags(answers, len(keys)) > 0))[self.group] if len(keys) else np.zeros(0, bool))
         self.left = np.maximum(self.start[self.doc], self.at - self.reach) if len(self.at) else self.at
         self.right = np.minimum(self.end[self.doc], self.at + self.depth) if len(self.at) else self.at
 
@@ -162,7 +162,7 @@ class Block:
     def after_second(self, whole, gram) -> None:
         """Splits anchors into those whose stretch goes, and those whose windows must be asked for."""
         self.second_digit()
-        smaller, contested = _flags(whole, len(self.wlow)) & 1, _flags(gram, len(self.glow)) >> 1
+        smaller, contested = flags(whole, len(self.wlow)) & 1, flags(gram, len(self.glow)) >> 1
         full = (smaller[self.wgroup] > 0) | (self.id > self.wlow[self.wgroup]) if len(self.at) else np.zeros(0, bool)
         self.gone = (self.left[full], self.right[full])
         if len(self.at):
@@ -184,7 +184,7 @@ class Block:
         np.add.at(edge, self.gone[0], 1)
         np.add.at(edge, self.gone[1], -1)
         if len(self.window):
-            dup = (_flags(window, len(self.xlow)) & 1)[self.xgroup].astype(bool) | (self.window_id > self.xlow[self.xgroup])
+            dup = (flags(window, len(self.xlow)) & 1)[self.xgroup].astype(bool) | (self.window_id > self.xlow[self.xgroup])
             np.add.at(edge, self.window[dup], 1)
             np.add.at(edge, self.window[dup] + self.depth, -1)
         gone = np.cumsum(edge[:-1]) > 0
@@ -197,7 +197,7 @@ class Block:
         return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"]).astype({"doc_id": "Int64"})
 
 
-def _requests(block: int, n_buckets: int, keys, checks, docs, low, high) -> pd.DataFrame:
+def block_requests(block: int, n_buckets: int, keys, checks=None, docs=None, low=None, high=None) -> pd.DataFrame:
     """Rows of one block's sorted keys, cut where the bucket changes."""
     bucket = ((keys >> U(32)) * U(n_buckets)) >> U(32)
     at = np.concatenate(([0], np.flatnonzero(np.diff(bucket.view(np.int64))) + 1, [len(keys)]))
@@ -239,7 +239,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf.block, "bucket": pdf.bucket, "bits": [out[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:])]})
 
 
-def _asked(requests: DataFrame, name: str) -> DataFrame:
+def block_answers(requests: DataFrame, name: str) -> DataFrame:
     """One row per block: its answers by bucket."""
     answers = requests.groupBy("bucket").applyInPandas(_answer, "block long, bucket int, bits binary")
     return written(answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name)))
@@ -273,7 +273,7 @@ def suffix_dedup(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_B
                 for row in pdf.itertuples():
                     for name, (keys, *rest) in step(replay(row)).items():
                         if len(keys):
-                            yield _requests(row.block, n_buckets, keys, *rest).assign(name=name)
+                            yield block_requests(row.block, n_buckets, keys, *rest).assign(name=name)
 
         sent = known.mapInPandas(send, f"{ASKED}, name string")
         if len(names) > 1:  # both kinds of keys come from one reading of the text
@@ -281,12 +281,12 @@ def suffix_dedup(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_B
             got = written(asked.groupBy("block").agg(*(F.collect_list(F.when(F.col("name") == n, F.struct("bucket", "bits"))).alias(n) for n in names)))
             answers.append(got)
         else:
-            answers.append(_asked(sent, names[0]))
-        release(docs.sparkSession)
+            answers.append(block_answers(sent, names[0]))
 
-    ask(lambda b: {"first": (b.first_digit(), None, None, None, None)}, "first")
-    ask(lambda b: b.second_digit(), "whole", "gram")
-    ask(lambda b: b.last_digit(), "window")
+    passes = (lambda b: {"first": (b.first_digit(), None, None, None, None)}, "first"), (lambda b: b.second_digit(), "whole", "gram"), (lambda b: b.last_digit(), "window")
+    for p in passes:
+        ask(*p)
+        release(docs.sparkSession)  # the pass's shuffles are done with
     known = stored
     for a in answers:
         known = known.join(a, "block", "left")
