@@ -30,7 +30,7 @@ from .common import written
 
 BITS = 20
 GRAMS = (4, 5, 6)
-MAX_TOXIC, MAX_CLEAN = 8000, 16_000
+MAX_TOXIC, MAX_CLEAN = 4000, 8000
 MIN_Z, RIDGE = 3.0, 1e-4
 THRESHOLD = 0.7
 
@@ -129,9 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     column = np.full(1 << BITS, -1, np.int32)
     column[used] = np.arange(len(used))
     kept = [column[g] for g in grams]
-    doc, col = np.repeat(np.arange(len(kept)), [len(c) for c in kept]), np.concatenate(kept)
+    doc, col = np.repeat(np.arange(len(kept), dtype=np.int32), [len(c) for c in kept]), np.concatenate(kept)
+    del grams, kept, got
     r = ratio[used]
-    scaled = r[col]
+    scaled = r[col].astype(np.float32)
     w, b = np.zeros(len(used)), float(np.log(n1 / n0))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, steps + 1):  # Adam on the mean log loss
