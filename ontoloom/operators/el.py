@@ -74,7 +74,7 @@ def complete(axioms: ELAxioms, symbols: DataFrame | None = None) -> DataFrame:
     seed = symbols.select(F.col("id").alias("c"), zero.alias("r"), F.col("id").alias("d"))
     seed = seed.unionByName(symbols.select(F.col("id").alias("c"), zero.alias("r"), F.lit(top).alias("d")))
     if "reflexive" in t:
-        seed = seed.unionByName(symbols.crossJoin(F.broadcast(t["reflexive"].limit(10_000))).select(F.col("id").alias("c"), F.col("role").alias("r"), F.col("id").alias("d")))
+        seed = seed.unionByName(symbols.crossJoin(t["reflexive"]).select(F.col("id").alias("c"), F.col("role").alias("r"), F.col("id").alias("d")))
 
     def sub(facts: DataFrame, a: str, b: str) -> DataFrame:
         return facts.where("r = 0").select(F.col("c").alias(a), F.col("d").alias(b))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import Deferred, written
+from ..plans.fixpoint import Deferred, small, written
 
 
 def _subset(a, b):
@@ -21,9 +21,10 @@ def _subset(a, b):
 def _saturate(types: DataFrame, gcis: DataFrame, cap: int) -> DataFrame:
     """Every minimal extension of the types that satisfies all gcis; a gci is worked off one at a time in each type."""
     done = None
+    every, empty = small(gcis), small(gcis.where("size(head) = 0"))
     while True:
-        hit = types.join(F.broadcast(gcis), _subset(F.col("body"), F.col("t")) & ~F.arrays_overlap("head", "t") & (F.size("head") > 0), "left")
-        bad = types.join(F.broadcast(gcis.where("size(head) = 0")), _subset(F.col("body"), F.col("t")), "left_semi")
+        hit = types.join(every, _subset(F.col("body"), F.col("t")) & ~F.arrays_overlap("head", "t") & (F.size("head") > 0), "left")
+        bad = types.join(empty, _subset(F.col("body"), F.col("t")), "left_semi")
         open_ = written(hit.groupBy("root", "t").agg(F.min("id").alias("id")).join(bad, ["root", "t"], "left_anti"))
         ok = open_.where("id is null").select("root", "t")
         done = written(ok if done is None else done.unionByName(ok).distinct())
@@ -39,12 +40,13 @@ def _saturate(types: DataFrame, gcis: DataFrame, cap: int) -> DataFrame:
 def alive_types(gcis: DataFrame, some_right: DataFrame, all_right: DataFrame, names: list[str], cap: int = 100_000) -> DataFrame:
     """(root, t): the types that contain a name, are closed under the gcis and have all their witnesses."""
     spark = gcis.sparkSession
-    some, all_ = written(some_right), written(all_right)
+    some = small(some_right)
+    all_ = small(all_right.select(F.col("a").alias("x"), F.col("role").alias("r"), F.col("b").alias("y")))
     seeds = spark.createDataFrame([(n, [n]) for n in names], "root string, t array<string>")
     types = _saturate(seeds, gcis, cap)
     while True:  # witnesses: b and what universals push, as new seeds, until no new one comes
-        wants = types.select("t").distinct().join(F.broadcast(some), F.array_contains("t", F.col("a"))).select("t", "role", "b")
-        push = wants.join(F.broadcast(all_.select(F.col("a").alias("x"), F.col("role").alias("r"), F.col("b").alias("y"))), F.array_contains("t", F.col("x")) & (F.col("role") == F.col("r")), "left")
+        wants = types.select("t").distinct().join(some, F.array_contains("t", F.col("a"))).select("t", "role", "b")
+        push = wants.join(all_, F.array_contains("t", F.col("x")) & (F.col("role") == F.col("r")), "left")
         seed = push.groupBy("t", "role", "b").agg(F.collect_set("y").alias("ys")).select(F.array_sort(F.array_union(F.array("b"), "ys")).alias("t")).distinct()
         seed = seed.select(F.concat(F.lit("#"), F.array_join("t", ",")).alias("root"), "t")
         new = written(seed.join(types.select("root").distinct(), "root", "left_anti"))
@@ -58,8 +60,8 @@ def alive_types(gcis: DataFrame, some_right: DataFrame, all_right: DataFrame, na
             types = written(types.unionByName(dead))
     types = written(types.where("t is not null"))
     while True:
-        wants = types.select("root", "t").join(F.broadcast(some), F.array_contains("t", F.col("a"))).select("root", "t", "role", "b")
-        push = wants.join(F.broadcast(all_.select(F.col("a").alias("x"), F.col("role").alias("r"), F.col("b").alias("y"))), F.array_contains("t", F.col("x")) & (F.col("role") == F.col("r")), "left")
+        wants = types.select("root", "t").join(some, F.array_contains("t", F.col("a"))).select("root", "t", "role", "b")
+        push = wants.join(all_, F.array_contains("t", F.col("x")) & (F.col("role") == F.col("r")), "left")
         need = push.groupBy("root", "t", "role", "b").agg(F.collect_set("y").alias("ys")).withColumn("seed", F.concat(F.lit("#"), F.array_join(F.array_sort(F.array_union(F.array("b"), "ys")), ",")))
         lost = need.join(types.select(F.col("root").alias("seed")).distinct(), "seed", "left_anti").select("root", "t").distinct()
         kept = written(types.join(lost, ["root", "t"], "left_anti"))

@@ -35,6 +35,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A broadcast of an axiom table whose size has been checked; a larger one stops the run."""
+    kept = written(df)
+    if kept.count() > most:
+        raise Deferred(f"over {most} axioms to broadcast")
+    return F.broadcast(kept)
+
+
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int = 200) -> DataFrame:
     """Semi-naive least fixpoint. `step(delta, known)` derives rows from at least one row of delta; rows of `known`
     (delta included) are dropped, the rest is the next delta. Every round is written, so a lost executor costs one round."""
