@@ -13,8 +13,8 @@ pass only groups that still hold two documents are refined, and equal groups at
 
 A pass sends keys from blocks of text to buckets: a block sends a key once, with its smallest doc_id, so the most common
 string costs one entry a block; the bucket answers with bits, in the order of the keys. Blocks
-(compressed text) are written to the shared folder once and hashed anew in each pass, which costs
-less than keeping positions. Keys are compared by 96 bits of hash (38 and more in pass 1, which only filters).
+(compressed text) are written to the shared folder once, bucketed by their number so that answers
+come to them without a shuffle of text, and hashed anew in each pass, which costs less than keeping positions. Keys are compared by 96 bits of hash (38 and more in pass 1, which only filters).
 
 Edge cases: null text is empty; texts shorter than `depth` lose nothing; a repeated doc_id is not smaller than itself; a null doc_id counts as
 larger than all; an empty table gives an empty result; extra columns are ignored; text is any UTF-8.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import release, written
+from .common import bucketed, release, written
 from .hashing import U
 
 DEPTH = 50
@@ -249,7 +249,8 @@ def suffix_dedup(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_B
     """doc_id, n_bytes, spans (removed runs) and kept (remaining bytes) of every row."""
     if depth <= GRAM:
         raise ValueError(f"depth must be over {GRAM} bytes")
-    stored = written(blocks(docs, block_bytes))
+    stored = bucketed(blocks(docs, block_bytes), "block")
+    release(docs.sparkSession)
     total = stored.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = max(1, int(total * 2 / (depth - GRAM + 2) / keys_per_bucket) + 1)
     answers: list[DataFrame] = []
