@@ -33,6 +33,7 @@ GRAMS = (4, 5, 6)
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
 MIN_Z, RIDGE = 3.0, 1e-4
 THRESHOLD = 0.7
+CHUNK = 1_000_000
 
 
 class Model(NamedTuple):
@@ -125,20 +126,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
             yield pd.DataFrame({"toxic": pdf.toxic, "grams": [g.tobytes() for g in grams]})
 
     got = rows.mapInPandas(telling, "toxic int, grams binary").toPandas()
-    y, grams = got.toxic.to_numpy(np.float64), [np.frombuffer(g, np.int32) for g in got.grams]
-    column = np.full(1 << BITS, -1, np.int32)
+    y, column = got.toxic.to_numpy(np.float64), np.full(1 << BITS, -1, np.int32)
     column[used] = np.arange(len(used))
-    kept = [column[g] for g in grams]
-    doc, col = np.repeat(np.arange(len(kept), dtype=np.int32), [len(c) for c in kept]), np.concatenate(kept)
-    del grams, kept, got
+    col = [column[np.frombuffer(g, np.int32)] for g in got.grams]
+    del got
+    ends = np.cumsum([len(c) for c in col])
+    cuts = np.unique([0, *np.searchsorted(ends, np.arange(CHUNK, ends[-1], CHUNK)), len(col)]).tolist()
+    # documents are taken some CHUNK features at a time, so that a step's arrays stay small
+    chunks = [(slice(i, j), np.concatenate(col[i:j]), np.repeat(np.arange(j - i, dtype=np.int32), [len(c) for c in col[i:j]])) for i, j in zip(cuts, cuts[1:])]
+    del col
     r = ratio[used]
-    scaled = r[col].astype(np.float32)
     w, b = np.zeros(len(used)), float(np.log(n1 / n0))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, steps + 1):  # Adam on the mean log loss
-        z = b + np.bincount(doc, scaled * w[col], len(y))
-        miss = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - (y == 1)) / len(y)
-        grad = np.append(np.bincount(col, scaled * miss[doc], len(used)) + ridge * w, miss.sum())
+        scaled, slope, offset = r * w, np.zeros(len(used)), 0.0
+        for at, features, doc in chunks:
+            z = b + np.bincount(doc, scaled[features], at.stop - at.start)
+            miss = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - (y[at] == 1)) / len(y)
+            slope += np.bincount(features, miss[doc], len(used))
+            offset += miss.sum()
+        grad = np.append(r * slope + ridge * w, offset)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - float(step[-1])
