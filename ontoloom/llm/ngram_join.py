@@ -101,9 +101,17 @@ def cells(s: np.ndarray) -> np.ndarray:
 
 
 def points(s: np.ndarray) -> bytes:
-    """Counts by group as bytes; a set with a larger count than a byte holds bounds nothing."""
+    """Counts by group, as bytes, or as 32-bit numbers when a count exceeds a byte (sets of some 50,000 shingles)."""
     counts = np.bincount((s >> hashing.U(3)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS)
-    return np.full(GROUPS, 255, np.uint8).tobytes() if counts.max() > 255 else counts.astype(np.uint8).tobytes()
+    return counts.astype(np.uint32 if counts.max() > 255 else np.uint8).tobytes()
+
+
+def _counts(packed) -> np.ndarray:
+    """Rows of counts of packed points, whichever width each has."""
+    packed = list(packed)
+    if all(len(p) == GROUPS for p in packed):
+        return np.frombuffer(b"".join(packed), np.uint8).reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else np.uint32).astype(np.uint32) for p in packed])
 
 
 def _set(text: str | None) -> np.ndarray:
@@ -180,8 +188,7 @@ def bounded(pairs: DataFrame, known: DataFrame) -> DataFrame:
     def room(na: pd.Series, nb: pd.Series, pa: pd.Series, pb: pd.Series) -> pd.Series:
         if not len(na):
             return pd.Series([], dtype=bool)
-        a, b = (np.frombuffer(b"".join(p), np.uint8).reshape(-1, GROUPS) for p in (pa, pb))
-        return pd.Series(np.minimum(a, b).sum(1, dtype=np.int64) >= need(na.to_numpy(), nb.to_numpy()))
+        return pd.Series(np.minimum(_counts(pa), _counts(pb)).sum(1, dtype=np.int64) >= need(na.to_numpy(), nb.to_numpy()))
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)")
     return sized.where(room("n_a", "n_b", "p_a", "p_b")).select("a", "b")
@@ -264,7 +271,7 @@ class RTree:
 
 
 def _search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    points_ = [np.frombuffer(b"".join(x.point), np.uint8).reshape(-1, GROUPS) for x in (left, right)]
+    points_ = [_counts(x.point) for x in (left, right)]
     tree = RTree(points_[1], right.n.to_numpy(np.int64))
     ids, roots, out = right.id.to_numpy(), right.root.to_numpy(), []
     for q, n, i, root in zip(points_[0], left.n, left.id, left.root):

@@ -133,6 +133,25 @@ def test_rtree_finds_all_that_the_bound_admits():
         assert set(tree.search(points[q], int(size[q]))) == set(np.flatnonzero(fits))
 
 
+def test_bounds_hold_for_very_long_sets():
+    rng = np.random.default_rng(7)
+    a = np.unique(rng.integers(0, 1 << 63, 90_000, dtype=np.uint64))
+    b, short = np.unique(np.concatenate([a[4:], rng.integers(0, 1 << 63, 4, dtype=np.uint64)])), a[:500]
+    both = ngram_join._counts([ngram_join.points(s) for s in (a, b, short)])
+    assert np.minimum(both[0], both[1]).sum(dtype=np.int64) >= ngram_join.need(len(a), len(b))
+    assert both.sum(1, dtype=np.int64).tolist() == [len(a), len(b), len(short)]
+    assert sorted(ngram_join.RTree(both, np.array([len(a), len(b), len(short)])).search(both[0], len(a))) == [0, 1]
+
+
+def test_ngram_join_of_two_very_long_near_copies(spark):
+    words = [f"w{i}" for i in range(80_000)]
+    other = [*words[:40_000], "changed", *words[40_001:]]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(f"v{i}" for i in range(80_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in ngram_join.ngram_join(docs).collect()) == brute_components(rows)
+    assert Counter(r.component_id for r in ngram_join.ngram_join(docs).collect()) == {1: 2, 3: 1}
+
+
 def brute_suffix(rows):
     data = [(i, (t or "").encode()) for i, t in rows]
     order = lambda i: float("inf") if i is None else i
