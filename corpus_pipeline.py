@@ -12,6 +12,10 @@ from ontoloom.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from ontoloom.llm.common import table, written
 
 
+#: Near copies: shingles of five words, a similarity of 0.8.
+NEAR = ngram_join.Rule(words=5, num=80)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
@@ -21,7 +25,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, NEAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,12 @@
 """N-gram Jaccard join over word shingles, by count vectors and R-trees.
 
 A set's shingles are hashed into groups; the counts by group are its point, and the summed minima of two
-points bound the overlap from above. Two sets link when 100 * overlap >= 85 * union, which
-allows r = floor((|A| + |B|) * 15 / 185) shingles in one but not in the other.
+points bound the overlap from above. Two sets link when den * overlap >= num * union (a `Rule`; 85 of 100 by default), which
+allows r = floor((|A| + |B|) * (den - num) / (den + num)) shingles in one but not in the other.
 
 Routing. Of r + 2 hashed groups, two linked sets agree on two in full (each differing shingle
 spoils one group at most), so linked sets meet in a cell named by a group and the hash of
-its content, or by two groups that are empty in both. r depends on the sizes, so sizes are cut into bands of ratio 1/0.85 and a set takes part
+its content, or by two groups that are empty in both. r depends on the sizes, so sizes are cut into bands of ratio den/num and a set takes part
 in its own band's cells and in the band's below; linked sets are in one band or in neighbours. Small sets meet in
 the cells of their first shingles in hash order instead (as many as cannot all be missing in a linked set).
 
@@ -28,6 +28,8 @@ with a null doc_id join the component of a set that others have too, and never n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -40,8 +42,6 @@ from .common import release, small_batches, written
 from .components import components
 from .suffix_dedup import ASKED, LAST, block_answers, block_requests, blocks, flags
 
-WORDS = 4
-NUM, DEN = 85, 100  # linked: DEN * overlap >= NUM * union
 GROUPS = 256
 LEAF = 16
 BLOCK = 512
@@ -50,41 +50,51 @@ BYTES_PER_BUCKET = 20_000_000
 ROWS_OF_SETS = 200  # pairs of whole sets a Python worker holds at once
 
 
-def need(n, m):
+class Rule(NamedTuple):
+    """Sets of shingles of `words` words link when den * overlap >= num * union."""
+
+    words: int = 4
+    num: int = 85
+    den: int = 100
+
+
+RULE = Rule()
+
+
+def need(n, m, rule: Rule = RULE):
     """Least overlap of linked sets of sizes n and m."""
-    return -((-NUM * (n + m)) // (NUM + DEN))
+    return -((-rule.num * (n + m)) // (rule.num + rule.den))
 
 
-def _bands() -> np.ndarray:
+@lru_cache
+def _bands(rule: Rule) -> np.ndarray:
     """Upper ends of the size bands: sizes of one link are in one band or in neighbours."""
     ends = [1]
     while ends[-1] < 1 << 40:
-        ends.append(max(ends[-1] + 1, (ends[-1] + 1) * DEN // NUM))
+        ends.append(max(ends[-1] + 1, (ends[-1] + 1) * rule.den // rule.num))
     return np.array(ends)
 
 
-BANDS = _bands()
-
-
 SMALL = 60
 
 
-def _spoiled(top: int) -> int:
+def _spoiled(top: int, rule: Rule = RULE) -> int:
     """Most shingles in one set but not in the other, of linked sets with at most `top` shingles together."""
-    return max(top - 2 * int(need(0, top)), top - 1 - 2 * int(need(0, top - 1)))
+    return max(top - 2 * int(need(0, top, rule)), top - 1 - 2 * int(need(0, top - 1, rule)))
 
 
-def cells(s: np.ndarray) -> np.ndarray:
+def cells(s: np.ndarray, rule: Rule = RULE) -> np.ndarray:
     """Names of the cells of a set of sorted shingle hashes."""
-    band, n, out = int(np.searchsorted(BANDS, len(s))), len(s), []
+    bands = _bands(rule)
+    band, n, out = int(np.searchsorted(bands, len(s))), len(s), []
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s)])
     for low in sorted({band, max(0, band - 1)}):
-        top = int(BANDS[low] + BANDS[low + 1])
-        r = _spoiled(top)
+        top = int(bands[low] + bands[low + 1])
+        r = _spoiled(top, rule)
         if not r:
             continue  # only equal sets link
         if top < SMALL:
-            first = s[: n - -(-NUM * n // DEN) + 1]
+            first = s[: n - -(-rule.num * n // rule.den) + 1]
             out.append(hashing.mix(first + hashing.U(low)))
             continue
         m = r + 2  # two groups at least agree in full
@@ -114,36 +124,36 @@ def _counts(packed) -> np.ndarray:
     return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else np.uint32).astype(np.uint32) for p in packed])
 
 
-def _set(text: str | None) -> np.ndarray:
-    return hashing.shingles((text or "").encode("utf-8", "replace").lower(), WORDS)
+def _set(text: str | None, words: int) -> np.ndarray:
+    return hashing.shingles((text or "").encode("utf-8", "replace").lower(), words)
 
 
 def _name(s: np.ndarray) -> int:
     return int(np.add.reduce(hashing.mix(s * hashing.U(0x2545F4914F6CDD1D) + hashing.U(len(s)))).astype(np.int64))
 
 
-def _block_sets(row) -> list[np.ndarray]:
+def _block_sets(row, words: int) -> list[np.ndarray]:
     a = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.data).lower(), np.uint8)
     end = np.cumsum(np.frombuffer(row.sizes, np.int64))
-    return hashing.block_shingles(a, end - np.frombuffer(row.sizes, np.int64), end, WORDS)
+    return hashing.block_shingles(a, end - np.frombuffer(row.sizes, np.int64), end, words)
 
 
-def sets(stored: DataFrame) -> DataFrame:
+def sets(stored: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, n, id, point) of every row of the blocks; id names the set, null when it is empty."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                got = _block_sets(row)
+                got = _block_sets(row, rule.words)
                 ids = [None if i == LAST else i for i in np.frombuffer(row.ids, np.int64).tolist()]
                 yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": [len(s) for s in got], "id": pd.array([_name(s) if len(s) else None for s in got], "Int64"), "point": [points(s) for s in got]})
 
     return stored.mapInPandas(read, "doc_id long, n long, id long, point binary")
 
 
-def _block_cells(row) -> tuple[np.ndarray, np.ndarray]:
+def _block_cells(row, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (cell, id) of a block, ordered by cell."""
-    got = [(cells(s), _name(s)) for s in _block_sets(row) if len(s)]
+    got = [(cells(s, rule), _name(s)) for s in _block_sets(row, rule.words) if len(s)]
     cell = np.concatenate([c for c, _ in got]) if got else np.zeros(0, np.uint64)
     ids = np.repeat(np.array([i for _, i in got], np.int64), [len(c) for c, _ in got])
     order = np.lexsort((ids, cell))
@@ -153,14 +163,14 @@ def _block_cells(row) -> tuple[np.ndarray, np.ndarray]:
     return cell[new], ids[new]
 
 
-def memberships(stored: DataFrame, n_buckets: int) -> DataFrame:
+def memberships(stored: DataFrame, n_buckets: int, rule: Rule) -> DataFrame:
     """(cell, id, leader, size) of the cells that hold two sets or more. Blocks first ask, by 32 bits a cell and
     bucket, which of their cells another block has too; only those and cells with two sets inside the block travel as rows."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                keys = np.unique(_block_cells(row)[0])
+                keys = np.unique(_block_cells(row, rule)[0])
                 if len(keys):
                     yield block_requests(row.block, n_buckets, keys)
 
@@ -169,7 +179,7 @@ def memberships(stored: DataFrame, n_buckets: int) -> DataFrame:
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                cell, ids = _block_cells(row)
+                cell, ids = _block_cells(row, rule)
                 keys, group, count = np.unique(cell, return_inverse=True, return_counts=True)
                 if len(keys):
                     out = ((flags(row.bits, len(keys)) > 0) | (count > 1))[group]
@@ -180,7 +190,7 @@ def memberships(stored: DataFrame, n_buckets: int) -> DataFrame:
     return rows.join(shared, "cell")
 
 
-def bounded(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def bounded(pairs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) whose points leave room for a link."""
     side = lambda x: known.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"p_{x}"))
 
@@ -188,9 +198,9 @@ def bounded(pairs: DataFrame, known: DataFrame) -> DataFrame:
     def room(na: pd.Series, nb: pd.Series, pa: pd.Series, pb: pd.Series) -> pd.Series:
         if not len(na):
             return pd.Series([], dtype=bool)
-        return pd.Series(np.minimum(_counts(pa), _counts(pb)).sum(1, dtype=np.int64) >= need(na.to_numpy(), nb.to_numpy()))
+        return pd.Series(np.minimum(_counts(pa), _counts(pb)).sum(1, dtype=np.int64) >= need(na.to_numpy(), nb.to_numpy(), rule))
 
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)")
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{rule.den} * least(n_a, n_b) >= {rule.num} * greatest(n_a, n_b)")
     return sized.where(room("n_a", "n_b", "p_a", "p_b")).select("a", "b")
 
 
@@ -205,7 +215,7 @@ def _bloom(ids: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of set ids that link, checked on the whole sets."""
     pairs = written(pairs.select("a", "b").distinct())
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(known.select("id", "doc_id"), "id"))
@@ -226,7 +236,7 @@ def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [(i, s) for i, s in zip(pdf.id, map(_set, pdf.text)) if len(s) and _name(s) == i]  # repeated doc_ids may name other texts
+            got = [(i, s) for i, s in ((i, _set(t, rule.words)) for i, t in zip(pdf.id, pdf.text)) if len(s) and _name(s) == i]  # repeated doc_ids may name other texts
             yield pd.DataFrame({"id": [i for i, _ in got], "s": [s.tobytes() for _, s in got]}, columns=["id", "s"])
 
     with small_batches(spark, 5 * ROWS_OF_SETS):
@@ -238,7 +248,7 @@ def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
         for x, y in zip(a, b):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            out.append(DEN * both >= NUM * (len(x) + len(y) - both))
+            out.append(rule.den * both >= rule.num * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
     with_sets = pairs.join(found.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(found.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
@@ -257,32 +267,32 @@ class RTree:
             at = np.arange(0, len(low), LEAF)
             self.levels.append((np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
-    def search(self, q: np.ndarray, n: int) -> np.ndarray:
+    def search(self, q: np.ndarray, n: int, rule: Rule = RULE) -> np.ndarray:
         """Members whose bound with q reaches what a link needs."""
         at = np.arange(len(self.levels[-1][1]))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low, high = self.levels[depth]
-            at = at[(DEN * high[at] >= NUM * n) & (NUM * low[at] <= DEN * n)]
-            at = at[np.minimum(top[at], q).sum(1, dtype=np.int64) >= need(low[at], n)]
+            at = at[(rule.den * high[at] >= rule.num * n) & (rule.num * low[at] <= rule.den * n)]
+            at = at[np.minimum(top[at], q).sum(1, dtype=np.int64) >= need(low[at], n, rule)]
             if depth:
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
                 at = at[at < len(self.levels[depth - 1][1])]
         return self.order[at]
 
 
-def _search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def _search(left: pd.DataFrame, right: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     points_ = [_counts(x.point) for x in (left, right)]
     tree = RTree(points_[1], right.n.to_numpy(np.int64))
     ids, roots, out = right.id.to_numpy(), right.root.to_numpy(), []
     for q, n, i, root in zip(points_[0], left.n, left.id, left.root):
-        hit = tree.search(q, n)
+        hit = tree.search(q, n, rule)
         hit = hit[(ids[hit] != i) & (roots[hit] != root)]
         out.append(np.stack([np.minimum(ids[hit], i), np.maximum(ids[hit], i)], 1))
     got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
     return pd.DataFrame(got, columns=["a", "b"])
 
 
-def unresolved(members: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
+def unresolved(members: DataFrame, roots: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of different components that an R-tree search of their common cells leaves open."""
     rows = members.select("cell", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = rows.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("r0 <> r1 and size > 2")
@@ -294,26 +304,26 @@ def unresolved(members: DataFrame, roots: DataFrame, known: DataFrame) -> DataFr
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf.x.iloc[0], pdf.y.iloc[0]
-        return _search(pdf[pdf.own == x], pdf[pdf.own == y])
+        return _search(pdf[pdf.own == x], pdf[pdf.own == y], rule)
 
     return tasks.groupBy("cell", "x", "y").applyInPandas(join, "a long, b long").distinct()
 
 
-def ngram_join(docs: DataFrame) -> DataFrame:
+def ngram_join(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     stored = written(blocks(docs))
     total = stored.agg(F.sum("n_bytes")).first()[0] or 0
-    rows = written(sets(stored))
+    rows = written(sets(stored, rule))
     known = written(rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("point").alias("point")))
-    members = written(memberships(stored, int(total // BYTES_PER_BUCKET) + 1))
+    members = written(memberships(stored, int(total // BYTES_PER_BUCKET) + 1, rule))
     release(docs.sparkSession)
     # each set tries the leader of its largest cell and the smallest leader it meets: most near copies join one component here
     tries = members.groupBy("id").agg(F.max(F.struct("size", "leader"))["leader"].alias("a0"), F.min("leader").alias("a1"))
     tries = tries.select(F.col("id").alias("b"), F.explode(F.array("a0", "a1")).alias("a")).where("a <> b").distinct()
-    star = bounded(tries, known)
-    links = verified(docs, known, star)
+    star = bounded(tries, known, rule)
+    links = verified(docs, known, star, rule)
     roots = written(components(links))
-    more = verified(docs, known, unresolved(members, roots, known))
+    more = verified(docs, known, unresolved(members, roots, known, rule), rule)
     roots = components(links.unionByName(more))
     named = known.select(F.col("id").alias("node"), "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -322,7 +332,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     return full.unionByName(rows.where("id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """The rows of docs whose doc_id is its component's smallest: one document of each group stays."""
-    keep = ngram_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    keep = ngram_join(docs, rule).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")

@@ -71,3 +71,27 @@ def test_stages_one_by_one(spark, documents):
     assert sizes[0] > sizes[1] >= sizes[2] >= sizes[3] > 0
     packed = corpus_pipeline.pack(spark, docs, SF)
     assert packed.agg({"length": "sum"}).first()[0] > 1000 and packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_near_copies_go_by_five_words_and_four_fifths(spark, nothing):
+    rng, rows = np.random.default_rng(11), []
+    for d in range(0, 160, 4):
+        words = [f"w{d}x{i}" for i in range(rng.integers(5, 200))]
+        for k in range(4):
+            other = list(words)
+            for at in rng.integers(0, len(words), round(k * len(words) / 49)):
+                other[at] = f"e{rng.integers(10**6)}"
+            rows.append((d + k, " ".join(other)))
+    one = [f"t{i}" for i in range(49)]
+    rows += [(1000, " ".join(one)), (1001, " ".join([*one[:24], "changed", *one[25:]]))]
+    sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, t in rows for w in [t.split()]}
+    root = {d: d for d in sets}
+    for a in sets:  # in ascending order, by groups small enough to settle one by one
+        for b in sets:
+            if a < b and root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], nothing.schema)
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert {r.doc_id for r in got.collect()} == {d for d, r in root.items() if d == r}
+    assert root[1001] == 1000 and got.columns == docs.columns
