@@ -14,7 +14,7 @@ Joining. 1. Every set is paired with the smallest set of its largest cell and wi
 point bound is too small are dropped, the rest verified on the whole sets, and the links' components
 taken: a group of near copies becomes one. 2. Cells that still hold several components are
 searched in full: an R-tree over the members' points finds, for every member, those of other
-components whose bound reaches the threshold; these pairs are verified as well. Cells larger than a block are joined by pairs of
+components whose bound reaches the threshold; these pairs, and those of cells with two members only, are verified as well unless step 1 did. Cells larger than a block are joined by pairs of
 blocks. Since pairs inside a component add nothing, no link between components is lost.
 
 Equal sets are one set (named by a 64-bit fingerprint of its shingles) throughout. Which texts to fetch for
@@ -293,11 +293,13 @@ def _search(left: pd.DataFrame, right: pd.DataFrame, rule: Rule) -> pd.DataFrame
 
 
 def unresolved(members: DataFrame, roots: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of different components that an R-tree search of their common cells leaves open."""
+    """Pairs of different components that an R-tree search of their common cells leaves open; a cell of two members is such a pair itself."""
     rows = members.select("cell", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rows.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("r0 <> r1 and size > 2")
+    mixed = rows.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"), F.min("id").alias("a"), F.max("id").alias("b")).where("r0 <> r1")
+    mixed = written(mixed)
+    two = bounded(mixed.where("size = 2").select("a", "b").distinct(), known, rule)
     # cells with the same members are searched once
-    once = written(mixed.groupBy("who", "size").agg(F.min("cell").alias("cell"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).drop("who"))
+    once = written(mixed.where("size > 2").groupBy("who", "size").agg(F.min("cell").alias("cell"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).drop("who"))
     data = rows.join(once, "cell").join(known.select("id", "n", "point"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tasks = data.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
@@ -306,7 +308,7 @@ def unresolved(members: DataFrame, roots: DataFrame, known: DataFrame, rule: Rul
         x, y = pdf.x.iloc[0], pdf.y.iloc[0]
         return _search(pdf[pdf.own == x], pdf[pdf.own == y], rule)
 
-    return tasks.groupBy("cell", "x", "y").applyInPandas(join, "a long, b long").distinct()
+    return tasks.groupBy("cell", "x", "y").applyInPandas(join, "a long, b long").unionByName(two).distinct()
 
 
 def ngram_join(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
@@ -320,10 +322,10 @@ def ngram_join(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     # each set tries the leader of its largest cell and the smallest leader it meets: most near copies join one component here
     tries = members.groupBy("id").agg(F.max(F.struct("size", "leader"))["leader"].alias("a0"), F.min("leader").alias("a1"))
     tries = tries.select(F.col("id").alias("b"), F.explode(F.array("a0", "a1")).alias("a")).where("a <> b").distinct()
-    star = bounded(tries, known, rule)
+    star = written(bounded(tries, known, rule))
     links = verified(docs, known, star, rule)
     roots = written(components(links))
-    more = verified(docs, known, unresolved(members, roots, known, rule), rule)
+    more = verified(docs, known, unresolved(members, roots, known, rule).join(star, ["a", "b"], "left_anti"), rule)
     roots = components(links.unionByName(more))
     named = known.select(F.col("id").alias("node"), "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

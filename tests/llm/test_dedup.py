@@ -152,6 +152,18 @@ def test_ngram_join_of_two_very_long_near_copies(spark):
     assert Counter(r.component_id for r in ngram_join.ngram_join(docs).collect()) == {1: 2, 3: 1}
 
 
+def test_cells_of_two_members_are_not_skipped(spark):
+    rng = np.random.default_rng(9)
+    a = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    far = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    known = spark.createDataFrame([(i, len(s), bytearray(ngram_join.points(s))) for i, s in ((1, a[2:]), (2, a), (3, far))], "id long, n long, point binary")
+    members = spark.createDataFrame([(10, 1), (10, 2), (11, 2), (11, 3), (12, 1), (12, 2)], "cell long, id long")
+    roots = spark.createDataFrame([], "node long, root long")
+    assert [tuple(r) for r in ngram_join.unresolved(members, roots, known, ngram_join.RULE).collect()] == [(1, 2)]
+    roots = spark.createDataFrame([(1, 1), (2, 1)], "node long, root long")
+    assert ngram_join.unresolved(members, roots, known, ngram_join.RULE).count() == 0
+
+
 def brute_suffix(rows):
     data = [(i, (t or "").encode()) for i, t in rows]
     order = lambda i: float("inf") if i is None else i
