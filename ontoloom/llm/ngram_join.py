@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import release, small_batches, written
 from .components import components
-from .suffix_dedup import ASKED, LAST, block_answers, block_requests, blocks, flags
+from .suffix_dedup import ASKED, block_answers, block_requests, blocks, doc_ids, flags
 
 GROUPS = 256
 LEAF = 16
@@ -145,8 +145,7 @@ def sets(stored: DataFrame, rule: Rule) -> DataFrame:
         for pdf in batches:
             for row in pdf.itertuples():
                 got = _block_sets(row, rule.words)
-                ids = [None if i == LAST else i for i in np.frombuffer(row.ids, np.int64).tolist()]
-                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": [len(s) for s in got], "id": pd.array([_name(s) if len(s) else None for s in got], "Int64"), "point": [points(s) for s in got]})
+                yield pd.DataFrame({"doc_id": pd.array(doc_ids(row), "Int64"), "n": [len(s) for s in got], "id": pd.array([_name(s) if len(s) else None for s in got], "Int64"), "point": [points(s) for s in got]})
 
     return stored.mapInPandas(read, "doc_id long, n long, id long, point binary")
 

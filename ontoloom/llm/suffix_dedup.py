@@ -40,7 +40,7 @@ GRAM = 25
 BLOCK_BYTES = 2_000_000
 KEYS_PER_BUCKET = 1_000_000
 LAST = np.iinfo(np.int64).max
-BLOCK = "block long, n_bytes long, data binary, ids binary, sizes binary"
+BLOCK = "block long, n_bytes long, data binary, ids binary, known binary, sizes binary"
 ASKED = "bucket int, block long, keys binary, checks binary, docs binary, ids binary, low binary, high binary"
 
 
@@ -54,11 +54,12 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
         def row() -> pd.DataFrame:
             sizes = np.array([len(t) for t in texts], np.int64)
-            return pd.DataFrame({"block": [(task << 32) + made], "n_bytes": [total], "data": [pack.compress(b"".join(texts))], "ids": [np.array(ids, np.int64).tobytes()], "sizes": [sizes.tobytes()]})
+            known = np.array([i is not None for i in ids], bool)
+            return pd.DataFrame({"block": [(task << 32) + made], "n_bytes": [total], "data": [pack.compress(b"".join(texts))], "ids": [np.array([LAST if i is None else i for i in ids], np.int64).tobytes()], "known": [known.tobytes()], "sizes": [sizes.tobytes()]})
 
         for pdf in batches:
             for doc_id, text in zip(pdf.doc_id, pdf.text):
-                ids.append(LAST if pd.isna(doc_id) else int(doc_id))
+                ids.append(None if pd.isna(doc_id) else int(doc_id))
                 texts.append((text or "").encode("utf-8", "replace"))
                 total += len(texts[-1])
                 if total >= block_bytes:
@@ -70,6 +71,11 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(build, BLOCK)
 
 
+def doc_ids(row) -> list[int | None]:
+    """The doc_ids of a block's texts; nulls stand apart from the largest long."""
+    return [i if known else None for i, known in zip(np.frombuffer(row.ids, np.int64).tolist(), row.known)]
+
+
 def _slide(x: np.ndarray, width: int, least) -> np.ndarray:
     """Least (or largest) of every `width` neighbours, by doubling."""
     n = 1
@@ -93,6 +99,7 @@ class Block:
         data = zstandard.ZstdDecompressor().decompress(row.data)
         self.a, self.depth, self.reach = np.frombuffer(data, np.uint8), depth, depth - GRAM
         self.ids, self.sizes = np.frombuffer(row.ids, np.int64), np.frombuffer(row.sizes, np.int64)
+        self.named = doc_ids(row)
         self.end = np.cumsum(self.sizes)
         self.start = self.end - self.sizes
         n, none = len(self.a), np.zeros(0, np.uint64)
@@ -189,11 +196,11 @@ class Block:
             np.add.at(edge, self.window[dup] + self.depth, -1)
         gone = np.cumsum(edge[:-1]) > 0
         rows = []
-        for doc_id, s, e in zip(self.ids.tolist(), self.start.tolist(), self.end.tolist()):
+        for doc_id, s, e in zip(self.named, self.start.tolist(), self.end.tolist()):
             own = gone[s:e]
             flip = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
             spans = [{"start": x, "end": y} for x, y in zip(flip[::2].tolist(), flip[1::2].tolist())]
-            rows.append((None if doc_id == LAST else doc_id, e - s, spans, self.a[s:e][~own].tobytes()))
+            rows.append((doc_id, e - s, spans, self.a[s:e][~own].tobytes()))
         return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"]).astype({"doc_id": "Int64"})
 
 

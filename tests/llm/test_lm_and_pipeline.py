@@ -24,32 +24,129 @@ def test_lm_score(name, request):
     got = lm_score.lm_score(docs).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
-    if name == "documents":
-        assert np.mean([r.score > r.base_score for r in got if not r.held_out]) > 0.8
 
 
-def test_codes_are_prefix_free_and_contexts_are_local():
-    symbol = np.arange(1, 40)
-    bits = lm_score.rank_bits(symbol, lm_score.rank_contexts(symbol))
-    codes = ["".join(map(str, bits.bit[bits.owner == i])) for i in range(len(symbol))]
-    assert not any(a != b and b.startswith(a) for a in codes for b in codes)
-    assert sum(2.0 ** -len(c) for c in codes) <= 1
-    words = [b"alpha", b"be", b"alpha", b"x"]
-    letters = lm_score.letter_bits(words)
-    assert np.bincount(letters.owner).tolist() == [48, 24, 48, 16]
-    cost = Mixer(lm_score.LETTERS).cost(tally(lm_score.LETTERS, letters), letters, 4)
-    assert math.isclose(cost[0], cost[2]) and (cost < 0).all()
+def step(n):
+    return min(15, int(2 * math.log2(n + 1)))
+
+
+class Brute:
+    """The model word by word, in dictionaries; spellings apart."""
+
+    def __init__(self, rows):
+        self.out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
+        self.texts = [(d, [*(t or "").encode().lower().split(), "end"]) for d, t in rows]
+        self.grams = [Counter(g for k in range(len(w)) for g in self.of(w, k)) for _, w in self.texts]
+        self.all = Counter()
+        for (d, _), g in zip(self.texts, self.grams):
+            if not self.out(d):
+                self.all += g
+        self.n = sum(len(w) for d, w in self.texts if not self.out(d))
+        self.n_texts = sum(not self.out(d) for d, _ in self.texts)
+        self.seen = [Counter(), Counter()]
+        for i, (d, _) in enumerate(self.texts):
+            for slots, _, _, bit in [] if self.out(d) else [x for x in self.decisions(i) if len(x) == 4]:
+                self.seen[bit].update(slots)
+
+    @staticmethod
+    def of(words, k):
+        w = [None, None, *words[: k + 1]]
+        return (1, w[-1]), (2, *w[-2:]), (3, *w[-3:])
+
+    def decisions(self, i):
+        """(slots, gate, kind, bit) of every decision, and a number for every token's share; None where it is spelled."""
+        d, words = self.texts[i]
+        own, train = self.grams[i], not self.out(d)
+        count = lambda g: self.all[g] - (own[g] if train else 0)
+        levels, run = [0, 0, 0], 0
+        for k, word in enumerate(words):
+            one, two, three = self.of(words, k)
+            c1, c2, c3 = count(one), count(two), count(three)
+            h1 = count(self.of(words, k - 1)[0]) if k else self.n_texts - train
+            h2 = count(self.of(words, k - 1)[1]) if k else 0
+            l1, l2, l3 = levels[-1], levels[-2], levels[-3]
+            last = words[k - 1].__hash__() if k else None
+            for kind, asked, hit in ((0, h2 > 0, c3 > 0), (1, h1 > 0, c2 > 0), (2, True, c1 > 0)):
+                if asked:
+                    f2, f1 = step(h2), step(h1)
+                    yield ((0, kind, f2, f1), (1, kind, l1, l2, l3), (2, kind, f2, l1, min(7, run)), (3, kind, f1, l1, l2), (4, kind, last)), kind * 4 + l1, kind, int(hit)
+                    if hit:
+                        break
+            else:
+                kind = 3
+            yield [c3 / h2 if h2 else 1, c2 / h1 if h1 else 1, c1 / max(1, self.n - len(words) * train), None][kind] if kind < 3 else None,
+            levels.append(3 - kind)
+            run = run + 1 if kind == 0 else 0
+
+    def score(self, i):
+        total, steps = 0.0, []
+        for x in self.decisions(i):
+            if len(x) == 4:
+                steps.append(x)
+            elif x[0] is None:
+                return None
+            else:
+                total += math.log10(x[0])
+        weights = {g: [0.25] * 5 for g in range(12)}
+        sigmoid = lambda z: 1 / (1 + math.exp(-max(-20, min(20, z))))
+        fine = {(k, s): [20 * (1 - sigmoid((s - 16) / 2)), 20 * sigmoid((s - 16) / 2)] for k in range(3) for s in range(33)}
+        for at in range(0, len(steps), 32):
+            change = []
+            for slots, gate, kind, bit in steps[at : at + 32]:
+                x = [math.log((self.seen[1][s] + 0.4) / (self.seen[0][s] + 0.4)) for s in slots]
+                z = sum(a * b for a, b in zip(weights[gate], x))
+                both = fine[kind, round(max(-8, min(8, z)) * 2) + 16]
+                q = max(1e-6, min(1 - 1e-6, 0.5 * sigmoid(z) + 0.5 * both[1] / sum(both)))
+                total += math.log10(q if bit else 1 - q)
+                change.append((gate, bit - sigmoid(z), x, both, bit))
+            for gate, miss, x, both, bit in change:
+                weights[gate] = [w + 0.02 * miss * v for w, v in zip(weights[gate], x)]
+                both[bit] += 1
+        return total
+
+
+def test_lm_score_against_a_model_word_by_word(spark, documents):
+    rows = [tuple(r) for r in documents.select("doc_id", "text").collect()]
+    brute = Brute(rows)
+    got = {r.doc_id: r for r in lm_score.lm_score(documents).collect()}
+    near = compared = 0
+    for i, (d, _) in enumerate(rows):
+        want = brute.score(i)
+        if want is not None:
+            compared += 1
+            near += abs(got[d].score - want) <= 0.02 * abs(want) + 0.05
+    # last words share slots by 14 bits of hash there and stand apart here, so scores are near and not equal
+    assert compared >= 10 and near >= 0.95 * compared
+
+
+def test_scores_do_not_depend_on_how_texts_are_dealt(spark, documents):
+    one = {r.doc_id: r.score for r in lm_score.lm_score(documents.coalesce(1)).collect()}
+    many = {r.doc_id: r.score for r in lm_score.lm_score(documents.repartition(5)).collect()}
+    assert all(math.isclose(one[d], many[d], rel_tol=1e-5, abs_tol=1e-4) for d in one)
+
+
+def test_a_copy_elsewhere_in_training_makes_a_text_likely(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(words, 150))) for i in range(1, 60)]
+    rows += [(100 + k, rows[k][1]) for k in range(6)]
+    got = {r.doc_id: r.score / r.n_tokens for r in lm_score.lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = [p for k in range(6) for p in ((rows[k][0], 100 + k), (100 + k, rows[k][0]))]
+    copied = [got[a] for a, b in pairs if zlib.crc32(str(b).encode()) % 10]  # the other one is learned from
+    assert min(copied) > max(v for d, v in got.items() if 7 <= d < 60) + 1
 
 
 def test_mixer_learns_the_better_context():
     rng = np.random.default_rng(0)
     words = [bytes(rng.choice([b"the", b"of", b"and", b"tion"])) for _ in range(4000)]
     bits = lm_score.letter_bits(words)
-    counts = tally(lm_score.LETTERS, bits)
-    mixer = Mixer(lm_score.LETTERS)
-    before = mixer.cost(counts, bits, len(words)).sum()
-    mixer.learn(counts, bits, [np.zeros_like(c) for c in counts])
-    assert mixer.cost(counts, bits, len(words)).sum() > before
+    counts = tally(lm_score.LETTERS.sizes, bits)
+    mixer, own = Mixer(lm_score.LETTERS), np.ones(len(words), bool)
+    before = mixer.cost(counts, bits, own).sum()
+    mixer.learn(counts, bits)
+    assert mixer.cost(counts, bits, own).sum() > before
+    letters = lm_score.letter_bits([b"alpha", b"be", b"alpha", b""])
+    assert np.bincount(letters.owner).tolist() == [48, 24, 48, 8]
 
 
 def test_stages_one_by_one(spark, documents):
