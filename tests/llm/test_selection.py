@@ -178,3 +178,49 @@ def test_html_uses_the_host_where_nothing_is_marked(spark, nothing):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     assert html_text.extract(pages).where("n_chars > 0").count() == pages.count()
+
+
+def brute_unique(pages, depth, share):
+    """Token runs of unmarked pages that no boilerplate covers, host by host over whole token strings."""
+    out = {}
+    for host in {h for _, h, _ in pages}:
+        own = [(k, [w for b in blocks for w in b.split()], blocks) for k, h, blocks in pages if h == host]
+        seen = defaultdict(set)
+        for k, words, _ in own:
+            for i in range(len(words) - depth + 1):
+                seen[tuple(words[i : i + depth])].add(k)
+        for k, words, blocks in own:
+            gone = {j for i in range(len(words) - depth + 1) if len(seen[tuple(words[i : i + depth])]) >= max(2, share * len(own)) for j in range(i, i + depth)}
+            kept, at = [], 0
+            for b in blocks:
+                left = [w for i, w in enumerate(b.split(), at) if i not in gone]
+                at += len(b.split())
+                kept += [" ".join(left)] if left else []
+            out[k] = "\n".join(kept or blocks)
+    return out
+
+
+def test_host_array_against_brute_force(spark):
+    rng, pages = np.random.default_rng(6), []
+    for k in range(120):
+        host = f"h{min(3, int(rng.integers(8)))}.example"
+        blocks = [" ".join(f"m{host}{i}" for i in range(9)), *(" ".join(rng.choice([f"w{i}" for i in range(30)], rng.integers(1, 40))) for _ in range(4)), " ".join(f"f{host}{i}" for i in range(12))]
+        pages.append((k, host, blocks[int(rng.integers(2)) :]))
+    pages += [(200, "h0.example", pages[0][2]), (201, "h9.example", ["only page of its host"])]
+    rows = [(k, f"https://{h}/{k}", "".join(f"<div>{b}</div>" for b in blocks)) for k, h, blocks in pages]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == brute_unique(pages, html_text.DEPTH, html_text.SHARE)
+
+
+def test_html_rows_are_told_apart_and_text_is_kept(spark):
+    shared = "<div>one common line that all pages of this host carry at their end</div>"
+    rows = [(2, "http://h.example/a", "<div>first page alpha</div>" + shared), (2, "http://h.example/b", "<div>second page beta</div>" + shared), (None, "http://h.example/c", "<div>third gamma</div>" + shared),
+            (3, None, "<div>no url</div>" + shared), (None, None, "<div>nothing at all</div>" + shared), (2, "http://other.example/", "<div>the words one common line that all pages of this host carry stay</div>")]
+    got = sorted(r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == sorted(["first page alpha", "second page beta", "third gamma", "no url", "nothing at all", "the words one common line that all pages of this host carry stay"])
+    inline = "<article><p>Press the <button>Save</button> key, see <label>the name</label>.</p><p class='related'>kept</p><div class='share-price'>up</div><h2 id='social-impact'>impact</h2><div class='share-links'>no</div></article>"
+    teaser = "<main><article><p>More here</p></article><div>a long body of the page itself with many more words</div></main>"
+    rows = [(1, "http://x.example/1", inline), (2, "http://x.example/2", teaser)]
+    got = {r.page_id: (r.text, r.route) for r in html_text.routed(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == ("Press the Save key, see the name.\nkept\nup\nimpact", "marked")
+    assert got[2] == ("More here\na long body of the page itself with many more words", "unique")
