@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, written
+from .common import fresh, lower_ascii, written
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -155,9 +155,9 @@ def build_index(rows: DataFrame, n_shards: int) -> DataFrame:
     return _combined(rows, n_shards).groupBy("shard").applyInPandas(fill, KEYS)
 
 
-def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame, n_shards: int) -> DataFrame:
-    """The index after taking rows out and then adding rows. The largest doc_id of a key that
-    outlives a deletion of that row stays as it was: the index holds digests, not lists of rows."""
+def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame, n_shards: int, live: DataFrame | None = None) -> DataFrame:
+    """The index after taking rows out and then adding rows. With the rows that were `live` before, a key whose largest doc_id may
+    have gone gets the largest of those left; without them such a key keeps the old one, as the index holds digests, not rows."""
     changes = _combined(inserts, n_shards).withColumn("gone", F.lit(False)).unionByName(_combined(deletes, n_shards).withColumn("gone", F.lit(True)))
 
     def apply(key: tuple, state: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
@@ -169,7 +169,14 @@ def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame, n_sha
                 shard.insert(bytes(digest), None if pd.isna(doc_id) else int(doc_id), int(refs))
         return shard.state(key[0])
 
-    return index.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(apply, KEYS)
+    out = index.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(apply, KEYS)
+    if live is None:
+        return out
+    signed = lambda df, n: df.select("doc_id", "digest", F.lit(n).alias("n"))
+    left = signed(live, 1).unionByName(signed(deletes, -1)).unionByName(signed(inserts, 1)).join(deletes.select("digest").distinct(), "digest", "left_semi")
+    left = left.groupBy("digest", "doc_id").agg(F.sum("n").alias("n")).where("n > 0").groupBy("digest").agg(F.max("doc_id").alias("largest"), F.lit(True).alias("touched"))
+    rows = out.join(left, "digest", "left").withColumn("keep_id", F.when(F.col("touched"), F.col("largest")).otherwise(F.col("keep_id")))
+    return rows.select("shard", "digest", "keep_id", "refs", "slot", "n_buckets")
 
 
 def exact_dedup(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
@@ -184,10 +191,10 @@ def exact_dedup(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> DataFr
 
 def one_of_each(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
     """The rows of docs that stay, all columns; rows that also share the doc_id count as one row."""
-    stays = exact_dedup(docs, rows_per_shard).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
-    stays = written(stays)
-    own = F.unhex(F.sha2(lower_ascii(F.col("text")), 256))
-    kept = docs.withColumn("_digest_", own).join(stays.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest_") == F.col("_digest")), "left_semi")
+    kept_id, kept_digest, own = fresh(docs, "kept_id", "kept_digest", "own_digest")
+    stays = written(exact_dedup(docs, rows_per_shard).where("kept").select(F.col("doc_id").alias(kept_id), F.unhex("text_sha256").alias(kept_digest)))
+    rows = docs.withColumn(own, F.unhex(F.sha2(lower_ascii(F.col("text")), 256)))
+    kept = rows.join(stays.distinct(), F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_digest)), "left_semi")
     if stays.distinct().count() < stays.count():
-        kept = kept.dropDuplicates(["doc_id", "_digest_"])
-    return kept.drop("_digest_")
+        kept = kept.dropDuplicates(["doc_id", own])
+    return kept.drop(own)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, fresh, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SALTS = 256
@@ -149,12 +149,13 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[fl
 
 def taken(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken; documents without words, which have no share, stay once."""
-    copies = written(mix(docs, share, cap, weights).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "copies"))
-    rows = docs
-    match = F.col("doc_id").eqNullSafe(F.col("_id"))
-    if copies.select("_id").distinct().count() < copies.count():  # rows that share a doc_id are told apart by size and place
-        copies = copies.withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy("_size")))
-        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(n_words(F.col("text")))))
-        match = match & (F.col("_n") == F.col("_nth"))
-    times = F.when(F.col("_size") == 0, 1).otherwise(F.col("copies")).cast("int")
-    return rows.join(copies, match).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    own, size, source, times, nth, place, copy = fresh(docs, "own_id", "own_size", "own_source", "times", "nth", "place", "copy")
+    copies = mix(docs, share, cap, weights).select(F.col("doc_id").alias(own), F.col("size").alias(size), F.col("source").alias(source), F.col("copies").alias(times))
+    copies, rows = written(copies), docs
+    match = F.col("doc_id").eqNullSafe(F.col(own))
+    if copies.select(own).distinct().count() < copies.count():  # rows that share a doc_id are told apart by size, source and place
+        copies = copies.withColumn(nth, F.row_number().over(Window.partitionBy(own).orderBy(size, source)))
+        rows = rows.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy(n_words(F.col("text")), "source")))
+        match = match & (F.col(place) == F.col(nth))
+    often = F.when(F.col(size) == 0, 1).otherwise(F.col(times)).cast("int")
+    return rows.join(copies, match).withColumn(copy, F.explode(F.array_repeat(F.lit(1), often))).select(*docs.columns)

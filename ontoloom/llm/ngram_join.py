@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import release, small_batches, written
+from .common import fresh, release, small_batches, written
 from .components import components
 from .suffix_dedup import ASKED, block_answers, block_requests, blocks, doc_ids, flags
 
@@ -334,6 +334,16 @@ def ngram_join(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest: one document of each group stays."""
-    keep = ngram_join(docs, rule).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """The rows of docs, all columns, without those that link with a row before them: of each component the row with the smallest doc_id stays
+    (null last; of rows that share it, one)."""
+    ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    keep, row = fresh(docs, "keep_id", "row_id")
+    if ids[0] == ids[1]:
+        named = ngram_join(docs, rule).where("doc_id = component_id").select(F.col("doc_id").alias(keep))
+        return docs.join(named, F.col("doc_id") == F.col(keep), "left_semi")
+    # rows that share a doc_id, or have none, are told apart by a number of their own
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    of = written(ngram_join(rows.select(F.col(row).alias("doc_id"), "text"), rule).select(F.col("doc_id").alias(row), "component_id"))
+    best = rows.select(row, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row).alias("order")).join(of, row)
+    best = best.groupBy("component_id").agg(F.min("order").alias("order")).select(F.col("order")[row].alias(row))
+    return rows.join(best, row, "left_semi").select(*docs.columns)
