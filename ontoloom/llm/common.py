@@ -46,9 +46,12 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes the files of a table that `written` made and nothing reads any more."""
+    """Deletes the files (and the name) of tables that `written` or `bucketed` made and nothing reads any more."""
     spark = df.sparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        name = folder.rpartition("/")[2]
+        if name.startswith("ontoloom_"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -72,6 +75,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def whole_id(name: str) -> list[Column]:
+    """The id without nulls, and `none` where it was null: pandas would turn a column of longs with nulls into floats and lose digits."""
+    return [F.coalesce(F.col(name), F.lit(0).cast("long")).alias(name), F.col(name).isNull().alias("none")]
+
+
+def id_again(name: str) -> Column:
+    return F.when(~F.col("none"), F.col(name)).alias(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,15 +93,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Actions inside send Python at most so many rows at a time; for rows that hold whole texts or sets."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+def small_batches(spark: SparkSession, rows: int, megabytes: int = 16) -> Iterator[None]:
+    """Actions inside send Python at most so many rows and bytes at a time; for rows that hold whole texts or sets."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": megabytes << 20}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, n in wanted.items():
+        spark.conf.set(k, n)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def release(spark: SparkSession) -> None:

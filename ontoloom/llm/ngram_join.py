@@ -13,9 +13,10 @@ the cells of their first shingles in hash order instead (as many as cannot all b
 Joining. 1. Every set is paired with the smallest set of its largest cell and with the smallest it meets in any. Pairs whose
 point bound is too small are dropped, the rest verified on the whole sets, and the links' components
 taken: a group of near copies becomes one. 2. Cells that still hold several components are
-searched in full: an R-tree over the members' points finds, for every member, those of other
-components whose bound reaches the threshold; these pairs, and those of cells with two members only, are verified as well unless step 1 did. Cells larger than a block are joined by pairs of
-blocks. Since pairs inside a component add nothing, no link between components is lost.
+searched in full: an R-tree over the members' points finds, for every member outside the cell's most frequent component, those of other
+components whose bound reaches the threshold; these pairs, and those of cells with two members only, are verified as well unless step 1 did.
+Cells larger than a block are routed once more by a second hash, within the cell; what is still larger is searched block by
+block. Since pairs inside a component add nothing, no link between components is lost.
 
 Equal sets are one set (named by a 64-bit fingerprint of its shingles) throughout. Which texts to fetch for
 verification is prefiltered by a Bloom filter of bounded size; the join behind it is exact.
@@ -110,6 +111,13 @@ def cells(s: np.ndarray, rule: Rule = RULE) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def cells_within(cell: int, s: np.ndarray, rule: Rule) -> np.ndarray:
+    """Names of the cells of a second routing inside a crowded cell: the same set under another hash, so that what
+    brought many sets together by chance or by one common shingle parts them again. Linked sets meet here as well."""
+    other = np.sort(hashing.mix(s ^ hashing.U(0xA0761D6478BD642F)))
+    return hashing.mix(cells(other, rule) * hashing.U(0xE7037ED1A0B428DB) + np.array([cell], np.int64).view(np.uint64))
+
+
 def points(s: np.ndarray) -> bytes:
     """Counts by group, as bytes, or as 32-bit numbers when a count exceeds a byte (sets of some 50,000 shingles)."""
     counts = np.bincount((s >> hashing.U(3)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS)
@@ -214,11 +222,10 @@ def _bloom(ids: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of set ids that link, checked on the whole sets."""
-    pairs = written(pairs.select("a", "b").distinct())
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(known.select("id", "doc_id"), "id"))
+def whole_sets(docs: DataFrame, known: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
+    """(id, s): the whole sets of the given ids, one document's text read for each."""
     spark = docs.sparkSession
+    ids = written(ids.select("id").distinct().join(known.select("id", "doc_id"), "id"))
     filt = spark.sparkContext.broadcast(_bloom(ids.select(F.col("doc_id").alias("id")), ids.count()))
 
     @F.pandas_udf("boolean")
@@ -238,8 +245,14 @@ def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, rule: Rule) ->
             got = [(i, s) for i, s in ((i, _set(t, rule.words)) for i, t in zip(pdf.id, pdf.text)) if len(s) and _name(s) == i]  # repeated doc_ids may name other texts
             yield pd.DataFrame({"id": [i for i, _ in got], "s": [s.tobytes() for _, s in got]}, columns=["id", "s"])
 
-    with small_batches(spark, 5 * ROWS_OF_SETS):
-        found = written(texts.mapInPandas(whole, "id long, s binary").groupBy("id").agg(F.first("s").alias("s")))
+    with small_batches(spark, ROWS_OF_SETS):
+        return written(texts.mapInPandas(whole, "id long, s binary").groupBy("id").agg(F.first("s").alias("s")))
+
+
+def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of set ids that link, checked on the whole sets."""
+    pairs = written(pairs.select("a", "b").distinct())
+    found = whole_sets(docs, known, pairs.select(F.explode(F.array("a", "b")).alias("id")), rule)
 
     @F.pandas_udf("boolean")
     def links(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -251,7 +264,7 @@ def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, rule: Rule) ->
         return pd.Series(out, dtype=bool)
 
     with_sets = pairs.join(found.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(found.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
-    with small_batches(spark, ROWS_OF_SETS):
+    with small_batches(docs.sparkSession, ROWS_OF_SETS):
         return written(with_sets.where(links("s_a", "s_b")).select("a", "b"))
 
 
@@ -279,35 +292,61 @@ class RTree:
         return self.order[at]
 
 
-def _search(left: pd.DataFrame, right: pd.DataFrame, rule: Rule) -> pd.DataFrame:
-    points_ = [_counts(x.point) for x in (left, right)]
-    tree = RTree(points_[1], right.n.to_numpy(np.int64))
-    ids, roots, out = right.id.to_numpy(), right.root.to_numpy(), []
-    for q, n, i, root in zip(points_[0], left.n, left.id, left.root):
+def _search(asked: pd.DataFrame, held: pd.DataFrame, rule: Rule) -> pd.DataFrame:
+    """Pairs of an asked and a held set of different components whose bound reaches what a link needs."""
+    tree = RTree(_counts(held.point), held.n.to_numpy(np.int64))
+    ids, roots, out = held.id.to_numpy(), held.root.to_numpy(), []
+    for q, n, i, root in zip(_counts(asked.point), asked.n, asked.id, asked.root):
         hit = tree.search(q, n, rule)
         hit = hit[(ids[hit] != i) & (roots[hit] != root)]
         out.append(np.stack([np.minimum(ids[hit], i), np.maximum(ids[hit], i)], 1))
-    got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame(got, columns=["a", "b"])
+    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
 
-def unresolved(members: DataFrame, roots: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of different components that an R-tree search of their common cells leaves open; a cell of two members is such a pair itself."""
+def unresolved(docs: DataFrame, members: DataFrame, roots: DataFrame, known: DataFrame, rule: Rule, level: int = 0) -> DataFrame:
+    """Pairs of different components that an R-tree search of their common cells leaves open; a cell of two members is such a pair
+    itself. A crowded cell is first routed once more within itself. Of two components in a cell one at least is not the cell's most
+    frequent, so only members of the others ask; they ask every block of the cell."""
     rows = members.select("cell", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rows.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"), F.min("id").alias("a"), F.max("id").alias("b")).where("r0 <> r1")
-    mixed = written(mixed)
+    by_root = rows.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"), F.min("id").alias("a"), F.max("id").alias("b"))
+    mixed = by_root.groupBy("cell").agg(
+        F.max(F.struct("n", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size"), F.sum("who").alias("who"), F.min("a").alias("a"), F.max("b").alias("b")
+    )
+    mixed = written(mixed.where("roots > 1"))
     two = bounded(mixed.where("size = 2").select("a", "b").distinct(), known, rule)
     # cells with the same members are searched once
-    once = written(mixed.where("size > 2").groupBy("who", "size").agg(F.min("cell").alias("cell"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).drop("who"))
+    once = written(mixed.where("size > 2").groupBy("who", "size").agg(F.min(F.struct("cell", "most")).alias("c")).select("c.cell", "c.most", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    finer = None
+    if not level and not once.where("blocks > 1").isEmpty():
+        crowded = written(rows.join(once.where("blocks > 1"), "cell").select("cell", "id"))
+        finer = unresolved(docs, written(within(docs, known, crowded, rule)), roots, known, rule, level + 1)
+        once = once.where("blocks = 1")
     data = rows.join(once, "cell").join(known.select("id", "n", "point"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tasks = data.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    held = data.select("*", F.col("own").alias("block"), every.alias("part"), F.lit(False).alias("asks"))
+    asked = data.where("root <> most").select("*", every.alias("block"), F.col("own").alias("part"), F.lit(True).alias("asks"))
+    tasks = held.unionByName(asked).select("cell", "block", "part", "asks", "id", "root", "n", "point")
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf.asks.to_numpy(bool)
+        return _search(pdf[asks], pdf[~asks], rule) if asks.any() and not asks.all() else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf.x.iloc[0], pdf.y.iloc[0]
-        return _search(pdf[pdf.own == x], pdf[pdf.own == y], rule)
+    out = tasks.groupBy("cell", "block", "part").applyInPandas(search, "a long, b long").unionByName(two)
+    return (out if finer is None else out.unionByName(finer)).distinct()
+
+
+def within(docs: DataFrame, known: DataFrame, crowded: DataFrame, rule: Rule) -> DataFrame:
+    """(cell, id) of the second routing of crowded cells' members."""
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [cells_within(c, np.frombuffer(s, np.uint64), rule) for c, s in zip(pdf.cell, pdf.s)]
+            yield pd.DataFrame({"cell": np.concatenate(got).astype(np.int64) if got else [], "id": np.repeat(pdf.id.to_numpy(np.int64), [len(g) for g in got])})
 
-    return tasks.groupBy("cell", "x", "y").applyInPandas(join, "a long, b long").unionByName(two).distinct()
+    with small_batches(docs.sparkSession, ROWS_OF_SETS):
+        rows = written(crowded.join(whole_sets(docs, known, crowded, rule), "id").select("cell", "id", "s").mapInPandas(route, "cell long, id long").distinct())
+    shared = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(shared.select("cell"), "cell", "left_semi")
 
 
 def ngram_join(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
@@ -324,7 +363,7 @@ def ngram_join(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     star = written(bounded(tries, known, rule))
     links = verified(docs, known, star, rule)
     roots = written(components(links))
-    more = verified(docs, known, unresolved(members, roots, known, rule).join(star, ["a", "b"], "left_anti"), rule)
+    more = verified(docs, known, unresolved(docs, members, roots, known, rule).join(star, ["a", "b"], "left_anti"), rule)
     roots = components(links.unionByName(more))
     named = known.select(F.col("id").alias("node"), "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
