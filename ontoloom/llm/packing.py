@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import id_again, whole_id, written
 
 CAPACITY = 2048
 MAX_PIECE = 512
@@ -79,23 +79,23 @@ _CODERS: dict[str, WordIds] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, max_piece: int = MAX_PIECE, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
+    """One row per piece: doc_id (0 where it is `none`), start, length, ids_crc32, doc_tokens."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _CODERS.get(tokenizer) or _CODERS.setdefault(tokenizer, WordIds(tokenizer))
         for pdf in batches:
             rows = []
-            for doc_id, ids in zip(pdf.doc_id, (coder.text(t or "") for t in pdf.text)):
+            for doc_id, none, ids in zip(pdf.doc_id, pdf.none, (coder.text(t or "") for t in pdf.text)):
                 ids += end
                 n, at = len(ids) // 4, 0
                 while at < n:
                     size = capacity if n - at >= capacity else min(max_piece, n - at)
-                    rows.append((doc_id, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n))
+                    rows.append((doc_id, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n, none))
                     at += size
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "none"])
 
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECE)
+    return docs.select(*whole_id("doc_id"), "text").mapInPandas(cut, f"{PIECE}, none boolean")
 
 
 def difference(lengths: list[int], k: int) -> tuple[np.ndarray, int]:
@@ -155,7 +155,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         by = pdf.groupby("sequence_id").length
         pdf["offset"] = by.cumsum() - pdf.length
         pdf["sequence_length"] = by.transform("sum")
-        return pdf.drop(columns="block").astype({"doc_id": "Int64"})
+        return pdf.drop(columns="block")
 
-    blocks = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n_blocks)))
-    return blocks.groupBy("block").applyInPandas(place, f"{PIECE}, sequence_id long, offset long, sequence_length long")
+    # a number of its own deals out equal rows as well
+    blocks = cut.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)))
+    placed = blocks.groupBy("block").applyInPandas(place, f"{PIECE}, none boolean, sequence_id long, offset long, sequence_length long")
+    return placed.select(id_again("doc_id"), *(c for c in placed.columns if c not in ("doc_id", "none")))
