@@ -114,17 +114,17 @@ class CuckooShard:
     @classmethod
     def restore(cls, state: pd.DataFrame) -> CuckooShard:
         shard = cls(int(state.n_buckets.iloc[0]) if len(state) else 64)
-        for digest, keep_id, refs, slot in zip(state.digest, state.keep_id, state.refs, state.slot):
-            shard.keys.append([bytes(digest), None if pd.isna(keep_id) else int(keep_id), int(refs)])
+        none = state.none if "none" in state else state.keep_id.isna()
+        for digest, keep_id, no_id, refs, slot in zip(state.digest, state.keep_id, none, state.refs, state.slot):
+            shard.keys.append([bytes(digest), None if no_id else int(keep_id), int(refs)])
             shard.prints[slot] = shard._place(bytes(digest))[0]
             shard.owner[slot] = len(shard.keys) - 1
         return shard
 
     def state(self, shard: int) -> pd.DataFrame:
         at = [(k, s) for s, k in enumerate(self.owner) if k >= 0]
-        rows = [(shard, *self.keys[k], s, self.n) for k, s in at]
-        out = pd.DataFrame(rows, columns=["shard", "digest", "keep_id", "refs", "slot", "n_buckets"])
-        return out.astype({"keep_id": "Int64"})
+        digest, keep_id, refs = zip(*(self.keys[k] for k, _ in at)) if at else ((), (), ())
+        return pd.DataFrame({"shard": shard, "digest": list(digest), "keep_id": pd.array(list(keep_id), "Int64"), "refs": list(refs), "slot": [s for _, s in at], "n_buckets": self.n})
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -135,12 +135,13 @@ def digests(docs: DataFrame) -> DataFrame:
 def _combined(rows: DataFrame, n_shards: int) -> DataFrame:
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = pdf.assign(refs=1).groupby("digest", sort=False, dropna=False).agg({"doc_id": "max", "refs": "sum"}).reset_index()
+            got = pdf.assign(refs=1).groupby("digest", sort=False, dropna=False).agg({"doc_id": "max", "none": "min", "refs": "sum"}).reset_index()
             got["shard"] = [int.from_bytes(d[:4], "big") % n_shards for d in got.digest]
-            got["doc_id"] = got.doc_id.astype("Int64")
-            yield got[["shard", "digest", "doc_id", "refs"]]
+            yield got[["shard", "digest", "doc_id", "none", "refs"]]
 
-    return rows.select("doc_id", "digest").mapInPandas(combine, "shard int, digest binary, doc_id long, refs long")
+    # a null is the smallest, and pandas must not see it: longs with nulls would become floats
+    whole = (F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "digest")
+    return rows.select(*whole).mapInPandas(combine, "shard int, digest binary, doc_id long, none boolean, refs long")
 
 
 def build_index(rows: DataFrame, n_shards: int) -> DataFrame:
@@ -148,8 +149,8 @@ def build_index(rows: DataFrame, n_shards: int) -> DataFrame:
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shard = CuckooShard()
-        for digest, doc_id, refs in zip(pdf.digest, pdf.doc_id, pdf.refs):
-            shard.insert(bytes(digest), None if pd.isna(doc_id) else int(doc_id), int(refs))
+        for digest, doc_id, none, refs in zip(pdf.digest, pdf.doc_id, pdf.none, pdf.refs):
+            shard.insert(bytes(digest), None if none else int(doc_id), int(refs))
         return shard.state(key[0])
 
     return _combined(rows, n_shards).groupBy("shard").applyInPandas(fill, KEYS)
@@ -162,14 +163,15 @@ def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame, n_sha
 
     def apply(key: tuple, state: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         shard = CuckooShard.restore(state)
-        for gone, digest, doc_id, refs in sorted(zip(new.gone, new.digest, new.doc_id, new.refs), key=lambda r: not r[0]):
+        for gone, digest, doc_id, none, refs in sorted(zip(new.gone, new.digest, new.doc_id, new.none, new.refs), key=lambda r: not r[0]):
             if gone:
                 shard.delete(bytes(digest), int(refs))
             else:
-                shard.insert(bytes(digest), None if pd.isna(doc_id) else int(doc_id), int(refs))
+                shard.insert(bytes(digest), None if none else int(doc_id), int(refs))
         return shard.state(key[0])
 
-    out = index.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(apply, KEYS)
+    whole = index.withColumn("none", F.col("keep_id").isNull()).withColumn("keep_id", F.coalesce("keep_id", F.lit(0).cast("long")))
+    out = whole.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(apply, KEYS)
     if live is None:
         return out
     signed = lambda df, n: df.select("doc_id", "digest", F.lit(n).alias("n"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import bucketed, release, written
+from .common import bucketed, release, whole_id, written
 from .hashing import U
 
 DEPTH = 50
@@ -58,8 +58,8 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             return pd.DataFrame({"block": [(task << 32) + made], "n_bytes": [total], "data": [pack.compress(b"".join(texts))], "ids": [np.array([LAST if i is None else i for i in ids], np.int64).tobytes()], "known": [known.tobytes()], "sizes": [sizes.tobytes()]})
 
         for pdf in batches:
-            for doc_id, text in zip(pdf.doc_id, pdf.text):
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
+            for doc_id, none, text in zip(pdf.doc_id, pdf.none, pdf.text):
+                ids.append(None if none else int(doc_id))
                 texts.append((text or "").encode("utf-8", "replace"))
                 total += len(texts[-1])
                 if total >= block_bytes:
@@ -68,7 +68,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.select("doc_id", "text").mapInPandas(build, BLOCK)
+    return docs.select(*whole_id("doc_id"), "text").mapInPandas(build, BLOCK)
 
 
 def doc_ids(row) -> list[int | None]:

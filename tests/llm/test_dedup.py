@@ -199,7 +199,59 @@ def test_suffix_dedup_of_periodic_and_shared_texts(spark):
     assert Counter((r.doc_id, r.n_bytes, len(r.spans), bytes(r.kept)) for r in got) == brute_suffix(rows)
 
 
-def test_sentence_dedup(spark, odd, nothing):
+def brute_sentences(rows, span=2, min_words=8):
+    """Sentence dedup over lists: (doc_id, sentences, removed, text) of every row; equal rows are one document."""
+    import re
+
+    docs = {}
+    for d, t in rows:
+        parts = re.split(r"(?<=[.!?][ \t\x0b\x0c\r])|(?<=\n)", t or "")
+        docs[d, t or ""] = parts if parts[-1] or len(parts) == 1 else parts[:-1] + [""]
+    order = sorted(docs, key=lambda k: (k[0] is None, k[0] or 0))
+    runs = defaultdict(list)
+    for k in order:
+        words = [(i, p.encode().lower().split()) for i, p in enumerate(docs[k])]
+        words = [x for x in words if x[1]]
+        for i in range(max(1, len(words) - span + 1) if words else 0):
+            run = words[i : i + span]
+            if sum(len(w) for _, w in run) >= min_words:
+                runs[tuple(tuple(w) for _, w in run)].append((k, run[0][0], run[-1][0]))
+    gone = defaultdict(set)
+    for found in runs.values():
+        for k, at, last in found[1:]:
+            gone[k] |= set(range(at, last + 1))
+    return Counter((d, len(docs[d, t or ""]), len(gone[d, t or ""]), "".join(p for i, p in enumerate(docs[d, t or ""]) if i not in gone[d, t or ""])) for d, t in rows)
+
+
+@pytest.mark.parametrize("name", ["documents", "nothing", "ties"])
+def test_sentence_dedup(name, spark, request):
+    if name == "ties":
+        same = "A passage that two rows share and that is long enough. It goes on with a second sentence here."
+        docs = spark.createDataFrame([(1, same), (2, "Own start of a text with words. " + same), (3, "Own text of the third row, alone. Nothing else in it at all."), (3, same + " End."), (None, same), (4, None), (5, ""), (5, same), (5, same)], "doc_id long, text string")
+    else:
+        docs = request.getfixturevalue(name)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert Counter(map(tuple, sentence_dedup.sentence_dedup(docs).collect())) == brute_sentences(rows)
+
+
+def test_sentence_dedup_keeps_every_row(odd):
+    assert sentence_dedup.sentence_dedup(odd).count() == odd.count()
+
+
+def test_deletion_of_the_largest_id_leaves_the_next(spark):
+    rows = [(i, hashlib.sha256(str(i % 40).encode()).digest()) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, digest binary")
+    index = exact_dedup.build_index(docs, 3)
+    gone = docs.where("doc_id >= 150 or doc_id % 40 = 7")
+    new = spark.createDataFrame([(900, rows[7][1])], docs.schema)
+    got = {bytes(r.digest): (r.keep_id, r.refs) for r in exact_dedup.update_index(index, new, gone, 3, live=docs).collect()}
+    left = defaultdict(list)
+    for i, d in [*((i, d) for i, d in rows if i < 150 and i % 40 != 7), (900, rows[7][1])]:
+        left[d].append(i)
+    assert got == {d: (max(ids), len(ids)) for d, ids in left.items()}
+
+
+def test_sentence_dedup_by_hand(spark, odd, nothing):
     shared = "The quick brown fox jumps over the lazy dog. It then runs all the way home again! Was it tired? "
     rows = [(1, f"Own start here. {shared}Own end of one."), (2, f"Another start.\n{shared}Another end."), (3, "Nothing shared. At all in this one. "), (4, shared.upper()), (5, None)]
     got = {r.doc_id: r for r in sentence_dedup.sentence_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

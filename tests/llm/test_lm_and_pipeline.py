@@ -192,3 +192,19 @@ def test_near_copies_go_by_five_words_and_four_fifths(spark, nothing):
     got = corpus_pipeline.drop_near_copies(spark, docs, SF)
     assert {r.doc_id for r in got.collect()} == {d for d, r in root.items() if d == r}
     assert root[1001] == 1000 and got.columns == docs.columns
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_any_columns_and_take_empty_tables(stage, odd, nothing, spark):
+    name, run = corpus_pipeline.STAGES[stage]
+    assert run(spark, nothing, SF).count() == 0
+    got = run(spark, odd, SF)
+    assert got.columns == odd.columns
+    before, after = Counter(map(str, odd.collect())), Counter(map(str, got.collect()))
+    assert set(after) <= set(before) and after
+    texts = [(r.text or "").encode().lower() for r in got.collect()]
+    if name == "exact_dedup":
+        assert Counter(texts) == Counter({(r.text or "").encode().lower() for r in odd.collect()})
+    if name == "ngram_join":  # of equal texts with words one stays, rows that share a number but no text both do
+        full = [t for t in texts if t.split()]
+        assert len(full) == len(set(full)) and b"no id and words of its own" in full and sum(r.doc_id == 11 for r in got.collect()) == 2
