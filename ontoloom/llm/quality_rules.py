@@ -25,6 +25,7 @@ from .common import SPACES, written
 
 SYMBOLS = "#*$%&|<>"
 BINS = 32
+GRID = 2000  # places of the logarithmic grid by a factor of e
 MAX_RULES, MAX_LITERALS = 10, 4
 MIN_PRECISION = 0.9
 MIN_COVER = 3
@@ -120,18 +121,37 @@ def _both(rule: Rule, columns) -> Column:
     return out
 
 
+UNPIVOTED = f"stack({len(FEATURES)}, {', '.join(f'{f!r}, {f}' for f in FEATURES)}) as (feature, value)"
+
+
+def quantiles(rows: DataFrame) -> dict[str, list[float]]:
+    """Cuts at the quantiles of every feature, from exact counts over a fixed logarithmic grid: the same whatever the order of the rows."""
+    grid = rows.selectExpr(UNPIVOTED).groupBy("feature", F.floor(F.log1p("value") * GRID).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for feature, at, n in grid.collect():  # as many rows as the grid has places, at most
+        counts.setdefault(feature, []).append((at, n))
+    out = {}
+    for feature, found in counts.items():
+        total, seen, cuts = sum(n for _, n in found), 0, set()
+        for at, n in sorted(found):
+            # the upper end of a place closes every share that is reached in it
+            if int(seen * (BINS + 1) / total) < int((seen + n) * (BINS + 1) / total) <= BINS:
+                cuts.add(math.expm1((at + 1) / GRID))
+            seen += n
+        out[feature] = sorted(cuts)
+    return out
+
+
 def learn(rows: DataFrame) -> list[Rule]:
     """Rules for quality = 0, in order, from rows of features and `quality`."""
-    shares = [(i + 1) / (BINS + 1) for i in range(BINS)]
-    got = rows.agg(*(F.percentile_approx(f, F.lit(shares), F.lit(2000)).alias(f) for f in FEATURES)).first()
-    if got[FEATURES[0]] is None:
+    cuts = quantiles(rows)
+    if not cuts:
         return []
-    cuts = {f: sorted(set(got[f])) for f in FEATURES}
-    bins = [sum(((F.col(f) > F.lit(c)).cast("int") for c in cuts[f]), F.lit(0)).alias(f) for f in FEATURES]
+    bins = [sum(((F.col(f) > F.lit(c)).cast("int") for c in cuts[f]), F.lit(0)).alias(f) for f in FEATURES]  # bin j: over j cuts
     left = written(rows.select(*bins, (F.col("quality") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) > 0).alias("grow")))
     # above cut number j means a bin over j
     met = lambda x: F.col(x.feature) > x.bin if x.above else F.col(x.feature) <= x.bin
-    unpivoted = f"stack({len(FEATURES)}, {', '.join(f'{f!r}, {f}' for f in FEATURES)}) as (feature, bin)"
+    unpivoted = UNPIVOTED.replace("value", "bin")
     rules: list[Rule] = []
     while len(rules) < MAX_RULES:
         open_rows = left.where(~F.lit(False) & _both((), met))
