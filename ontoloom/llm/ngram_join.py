@@ -10,7 +10,8 @@ its content, or by two groups that are empty in both. r depends on the sizes, so
 in its own band's cells and in the band's below; linked sets are in one band or in neighbours. Small sets meet in
 the cells of their first shingles in hash order instead (as many as cannot all be missing in a linked set).
 
-Joining. 1. Every set is paired with the smallest set of its largest cell and with the smallest it meets in any. Pairs whose
+Joining. 1. Every set is paired with the leader of its largest cell and with the heaviest leader it meets in any; then those outside
+a cell's most frequent component with the heaviest of these. Pairs whose
 point bound is too small are dropped, the rest verified on the whole sets, and the links' components
 taken: a group of near copies becomes one. 2. Cells that still hold several components are
 searched in full: an R-tree over the members' points finds, for every member outside the cell's most frequent component, those of other
@@ -47,7 +48,8 @@ GROUPS = 256
 LEAF = 16
 BLOCK = 512
 BLOOM_MAX_BITS = 1 << 27
-BYTES_PER_BUCKET = 20_000_000
+BYTES_PER_BUCKET = 8_000_000
+BLOCK_BYTES = 1_000_000
 ROWS_OF_SETS = 200  # pairs of whole sets a Python worker holds at once
 
 
@@ -171,7 +173,8 @@ def _block_cells(row, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
 
 
 def memberships(stored: DataFrame, n_buckets: int, rule: Rule) -> DataFrame:
-    """(cell, id, leader, size) of the cells that hold two sets or more. Blocks first ask, by 32 bits a cell and
+    """(cell, id, size, weight, leader) of the cells that hold two sets or more. A set's weight is the size of all its cells; the
+    heaviest leads a cell: it agrees with most others, as the text does that copies were made from. Blocks first ask, by 32 bits a cell and
     bucket, which of their cells another block has too; only those and cells with two sets inside the block travel as rows."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,8 +196,10 @@ def memberships(stored: DataFrame, n_buckets: int, rule: Rule) -> DataFrame:
                     yield pd.DataFrame({"cell": cell[out].astype(np.int64), "id": ids[out]})
 
     rows = written(known.mapInPandas(send, "cell long, id long").distinct())
-    shared = rows.groupBy("cell").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    return rows.join(shared, "cell")
+    sized = written(rows.join(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "cell"))
+    weight = sized.groupBy("id").agg(F.sum("size").alias("weight"))
+    of = sized.join(weight, "id")
+    return of.join(of.groupBy("cell").agg(F.max(F.struct("weight", "id")).alias("leader")), "cell").select("cell", "id", "size", "weight", "leader")
 
 
 def bounded(pairs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
@@ -228,25 +233,20 @@ def whole_sets(docs: DataFrame, known: DataFrame, ids: DataFrame, rule: Rule) ->
     ids = written(ids.select("id").distinct().join(known.select("id", "doc_id"), "id"))
     filt = spark.sparkContext.broadcast(_bloom(ids.select(F.col("doc_id").alias("id")), ids.count()))
 
-    @F.pandas_udf("boolean")
-    def wanted(p0: pd.Series, p1: pd.Series, p2: pd.Series) -> pd.Series:
-        words = filt.value
-        out = np.ones(len(p0), bool)
-        for p in (p0, p1, p2):
-            p = p.to_numpy(np.int64) % (64 * len(words))
-            out &= (words[p >> 6] >> (p & 63)) & 1 == 1
-        return pd.Series(out)
-
-    hashes = [F.coalesce(F.xxhash64("doc_id", F.lit(i)), F.lit(0)) for i in range(3)]
-    texts = docs.select("doc_id", "text").where(wanted(*hashes)).join(ids, "doc_id").select("id", "text")
-
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = filt.value
         for pdf in batches:
-            got = [(i, s) for i, s in ((i, _set(t, rule.words)) for i, t in zip(pdf.id, pdf.text)) if len(s) and _name(s) == i]  # repeated doc_ids may name other texts
-            yield pd.DataFrame({"id": [i for i, _ in got], "s": [s.tobytes() for _, s in got]}, columns=["id", "s"])
-
+            maybe = np.ones(len(pdf), bool)
+            for p in (pdf.p0, pdf.p1, pdf.p2):
+                p = p.to_numpy(np.int64) % (64 * len(words))
+                maybe &= (words[p >> 6] >> (p & 63)) & 1 == 1
+            got = [s for s in (_set(t, rule.words) for t in pdf.text[maybe]) if len(s)]
+            yield pd.DataFrame({"id": [_name(s) for s in got], "s": [s.tobytes() for s in got]}, columns=["id", "s"])
+
+    hashes = [F.coalesce(F.xxhash64("doc_id", F.lit(i)), F.lit(0)).alias(f"p{i}") for i in range(3)]
     with small_batches(spark, ROWS_OF_SETS):
-        return written(texts.mapInPandas(whole, "id long, s binary").groupBy("id").agg(F.first("s").alias("s")))
+        found = docs.select(*hashes, "text").mapInPandas(whole, "id long, s binary")
+        return written(found.join(ids.select("id"), "id", "left_semi").groupBy("id").agg(F.first("s").alias("s")))
 
 
 def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -307,7 +307,7 @@ def unresolved(docs: DataFrame, members: DataFrame, roots: DataFrame, known: Dat
     """Pairs of different components that an R-tree search of their common cells leaves open; a cell of two members is such a pair
     itself. A crowded cell is first routed once more within itself. Of two components in a cell one at least is not the cell's most
     frequent, so only members of the others ask; they ask every block of the cell."""
-    rows = members.select("cell", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = rooted(members.select("cell", "id"), roots)
     by_root = rows.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"), F.min("id").alias("a"), F.max("id").alias("b"))
     mixed = by_root.groupBy("cell").agg(
         F.max(F.struct("n", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size"), F.sum("who").alias("who"), F.min("a").alias("a"), F.max("b").alias("b")
@@ -335,6 +335,26 @@ def unresolved(docs: DataFrame, members: DataFrame, roots: DataFrame, known: Dat
     return (out if finer is None else out.unionByName(finer)).distinct()
 
 
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of (id, other), the smaller first."""
+    return pairs.where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def second_tries(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b): the sets outside their cell's most frequent component with the heaviest of these, for each set's largest such cell and
+    its heaviest such partner."""
+    rows = rooted(members.select("cell", "id", "size", "weight"), roots)
+    most = rows.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots"))
+    others = written(rows.join(most.where("roots > 2"), "cell").where("root <> most").select("cell", "id", "size", "weight"))
+    lead = others.groupBy("cell").agg(F.max(F.struct("weight", "id")).alias("leader"))
+    tries = others.join(lead, "cell").groupBy("id").agg(F.max(F.struct("size", "leader"))["leader"]["id"].alias("a0"), F.max("leader")["id"].alias("a1"))
+    return ordered(tries.select("id", F.explode(F.array("a0", "a1")).alias("other")))
+
+
 def within(docs: DataFrame, known: DataFrame, crowded: DataFrame, rule: Rule) -> DataFrame:
     """(cell, id) of the second routing of crowded cells' members."""
 
@@ -351,18 +371,20 @@ def within(docs: DataFrame, known: DataFrame, crowded: DataFrame, rule: Rule) ->
 
 def ngram_join(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    stored = written(blocks(docs))
+    stored = written(blocks(docs, BLOCK_BYTES))
     total = stored.agg(F.sum("n_bytes")).first()[0] or 0
     rows = written(sets(stored, rule))
     known = written(rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("point").alias("point")))
     members = written(memberships(stored, int(total // BYTES_PER_BUCKET) + 1, rule))
     release(docs.sparkSession)
-    # each set tries the leader of its largest cell and the smallest leader it meets: most near copies join one component here
-    tries = members.groupBy("id").agg(F.max(F.struct("size", "leader"))["leader"].alias("a0"), F.min("leader").alias("a1"))
-    tries = tries.select(F.col("id").alias("b"), F.explode(F.array("a0", "a1")).alias("a")).where("a <> b").distinct()
-    star = written(bounded(tries, known, rule))
+    # each set tries the leader of its largest cell and the heaviest leader it meets: most near copies join one component here
+    tries = members.groupBy("id").agg(F.max(F.struct("size", "leader"))["leader"]["id"].alias("a0"), F.max("leader")["id"].alias("a1"))
+    star = written(bounded(ordered(tries.select("id", F.explode(F.array("a0", "a1")).alias("other"))), known, rule))
     links = verified(docs, known, star, rule)
-    roots = written(components(links))
+    # then those outside a cell's most frequent component try the heaviest of theirs
+    again = written(bounded(second_tries(members, written(components(links))), known, rule).join(star, ["a", "b"], "left_anti"))
+    links = links.unionByName(verified(docs, known, again, rule))
+    star, roots = star.unionByName(again), written(components(links))
     more = verified(docs, known, unresolved(docs, members, roots, known, rule).join(star, ["a", "b"], "left_anti"), rule)
     roots = components(links.unionByName(more))
     named = known.select(F.col("id").alias("node"), "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
