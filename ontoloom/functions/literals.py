@@ -18,6 +18,14 @@ LEXICAL = {
     "owl:rational": r"[+-]?[0-9]+/0*[1-9][0-9]*",
     "xsd:string": r"(?s).*",
     "xsd:anyURI": r"\S*",
+    "xsd:normalizedString": r"[^\t\n\r]*",
+    "xsd:token": r"([^\s]+( [^\s]+)*)?",
+    "xsd:Name": r"[\p{L}_:][\p{L}\p{N}._:\-]*",
+    "xsd:NCName": r"[\p{L}_][\p{L}\p{N}._\-]*",
+    "xsd:NMTOKEN": r"[\p{L}\p{N}._:\-]+",
+    "xsd:base64Binary": r"(([A-Za-z0-9+/] ?){4})*(([A-Za-z0-9+/] ?){3}[A-Za-z0-9+/]|([A-Za-z0-9+/] ?){2}[AEIMQUYcgkosw048] ?=|[A-Za-z0-9+/] ?[AQgw] ?= ?=)?",
+    "xsd:dateTimeStamp": r"-?[0-9]{4,}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?(Z|[+-](0[0-9]|1[0-4]):[0-5][0-9])",
+    "rdf:PlainLiteral": r"(?s).*",
 }
 # fixed values: least and greatest of the bounded integer types
 BOUNDS = {
@@ -68,6 +76,15 @@ def valid(lex: Column, datatype: Column) -> Column:
     return out.otherwise(F.lit(False))
 
 
+#: Well-formed language tags: a language, then subtags of one to eight letters or digits.
+LANGUAGE_TAG = r"^[a-zA-Z]{1,8}(-[a-zA-Z0-9]{1,8})*$"
+
+
+def valid_language(lang: Column) -> Column:
+    """Whether a language tag is well formed; none is."""
+    return lang.isNull() | lang.rlike(LANGUAGE_TAG)
+
+
 def value_key(lex: Column, datatype: Column, lang: Column | None = None) -> Column:
     """A string that names the literal's value: integers and decimals by value across their types, floats by
     type and bits (NaN and signed zeros apart), dateTimes with their offset, strings with their language."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import written
+
 
 def facet_members(facts: DataFrame, ranges: DataFrame) -> DataFrame:
     """(ind, range_name): facts (ind, value) in half-open intervals (range_name, low, high). The few ranges are joined by a condition."""
@@ -19,10 +21,14 @@ def binned_members(facts: DataFrame, ranges: DataFrame, width: float) -> DataFra
 
 
 def cells(bounds: DataFrame) -> DataFrame:
-    """(low, high): the cells that all mentioned bounds (value) cut the line into; open ends are null. Bounds come from axioms, so they are few."""
-    points = bounds.select("value").distinct()
-    inner = points.select(F.col("value").alias("low"), F.lead("value").over(Window.orderBy("value")).alias("high"))
-    return inner.unionByName(points.agg(F.min("value").alias("high")).select(F.lit(None).cast("double").alias("low"), "high"))
+    """(low, high): the cells that all mentioned bounds (value) cut the line into; open ends are null. Bounds are sorted by ranges; each
+    range takes its upper end from the next one, so no task holds all of them."""
+    parted = written(bounds.select("value").distinct().repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    inside = parted.select("part", F.col("value").alias("low"), F.lead("value").over(Window.partitionBy("part").orderBy("value")).alias("high"))
+    firsts = parted.groupBy("part").agg(F.min("value").alias("first"))  # a row a range
+    following = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("following"))
+    inner = inside.join(F.broadcast(following), "part").select("low", F.coalesce("high", "following").alias("high"))
+    return inner.unionByName(parted.agg(F.min("value").alias("high")).select(F.lit(None).cast("double").alias("low"), "high"))
 
 
 def profiles(members: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import fixpoint, written
+from ..plans.fixpoint import closure, fixpoint, written
 
 TOP, BOTTOM = "owl:Thing", "owl:Nothing"
 
@@ -39,6 +39,7 @@ class ELAxioms:
     nf7: DataFrame | None = None  # first second sup
     reflexive: DataFrame | None = None  # role
     extra: list[str] = field(default_factory=list)  # declared classes
+    extra_names: DataFrame | None = None  # declared classes (name), when they come as a table
 
     shapes = {"nf1": "sub sup", "nf2": "left right sup", "nf3": "sub role filler", "nf4": "role filler sup", "nf5": "sub", "nf6": "sub sup", "nf7": "first second sup", "reflexive": "role"}
     roles = {"nf3": {"role"}, "nf4": {"role"}, "nf6": {"sub", "sup"}, "nf7": {"first", "second", "sup"}, "reflexive": {"role"}}
@@ -51,6 +52,20 @@ class ELAxioms:
         df = self.table(name)
         return df.select(*(key(F.col(c)).alias(c) for c in df.columns)).distinct()
 
+    def tables(self) -> dict[str, DataFrame]:
+        """The tables that have rows, by hashes. All are written by one job, each to a folder of its own."""
+        rows = None
+        for n, shape in self.shapes.items():
+            if getattr(self, n) is not None:
+                df = self.keyed(n)
+                df = df.select(F.lit(n).alias("form"), *(F.col(c).alias(x) for c, x in zip(df.columns, "xyz")), *(F.lit(None).cast("long").alias(x) for x in "xyz"[len(df.columns) :]))
+                rows = df if rows is None else rows.unionByName(df)
+        if rows is None:
+            return {}
+        kept = written(rows, "form")
+        some = {r.form for r in kept.select("form").distinct().collect()}  # eight at most
+        return {n: kept.where(F.col("form") == n).select(*(F.col(x).alias(c) for x, c in zip("xyz", shape.split()))) for n, shape in self.shapes.items() if n in some}
+
     def symbols(self) -> DataFrame:
         """(id, name) of every class. Two names with one hash stop the run: identity is the whole name."""
         out = self.spark.createDataFrame([(x,) for x in [TOP, BOTTOM, *self.extra]], "name string")
@@ -58,24 +73,32 @@ class ELAxioms:
             for c in shape.split():
                 if c not in self.roles.get(name, ()) and getattr(self, name) is not None:
                     out = out.unionByName(self.table(name).select(F.col(c).alias("name")))
+        if self.extra_names is not None:
+            out = out.unionByName(self.extra_names.select("name"))
         out = written(out.distinct().select(key(F.col("name")).alias("id"), "name"))
         if not out.groupBy("id").count().where("count > 1").isEmpty():
             raise ValueError("two symbols share a hash")
         return out
 
 
-def complete(axioms: ELAxioms, symbols: DataFrame | None = None) -> DataFrame:
-    """All facts (c, r, d)."""
+def complete(axioms: ELAxioms, symbols: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """All facts (c, r, d). Facts `known` of a smaller set of axioms are kept: the run goes on from them, and after its first
+    round only what the added axioms bring is joined."""
     spark = axioms.spark
     symbols = axioms.symbols() if symbols is None else symbols
     top, bottom = (spark.range(1).select(key(F.lit(x))).first()[0] for x in (TOP, BOTTOM))
-    t = {n: written(axioms.keyed(n)) for n in ELAxioms.shapes if getattr(axioms, n) is not None}
+    t = axioms.tables()
+    for n in {"nf1", "nf6"} & t.keys():  # closed by doubling, so a long chain costs no round a link
+        t[n] = written(closure(t[n], "sub", "sup"))
     zero = F.lit(0).cast("long")
     seed = symbols.select(F.col("id").alias("c"), zero.alias("r"), F.col("id").alias("d"))
     seed = seed.unionByName(symbols.select(F.col("id").alias("c"), zero.alias("r"), F.lit(top).alias("d")))
     if "reflexive" in t:
         seed = seed.unionByName(symbols.crossJoin(t["reflexive"]).select(F.col("id").alias("c"), F.col("role").alias("r"), F.col("id").alias("d")))
 
+    if known is not None:
+        seed = seed.unionByName(known.select("c", "r", "d"))
+
     def sub(facts: DataFrame, a: str, b: str) -> DataFrame:
         return facts.where("r = 0").select(F.col("c").alias(a), F.col("d").alias(b))
 
@@ -94,7 +117,8 @@ def complete(axioms: ELAxioms, symbols: DataFrame | None = None) -> DataFrame:
         if "nf2" in t:
             for one, two in (("left", "right"), ("right", "left")):
                 half = sub(delta, "c", one).join(t["nf2"], one)
-                out.append(under(half.join(sub(known, "c", two), ["c", two]), "c", "sup"))
+                other = sub(known, "c", two).join(t["nf2"].select(two).distinct(), two, "left_semi")
+                out.append(under(half.join(other, ["c", two]), "c", "sup"))
         if "nf3" in t:
             out.append(to(sub(delta, "c", "x").join(t["nf3"].select(F.col("sub").alias("x"), "role", "filler"), "x"), "c", "role", "filler"))
         if "nf6" in t:
@@ -102,16 +126,21 @@ def complete(axioms: ELAxioms, symbols: DataFrame | None = None) -> DataFrame:
         if "nf4" in t:
             # only fillers and roles that some axiom asks for meet
             ask = t["nf4"]
-            out.append(under(edge(delta, "c", "role", "m").join(ask, "role").join(sub(known, "m", "filler"), ["m", "filler"]), "c", "sup"))
-            out.append(under(sub(delta, "m", "filler").join(ask, "filler").join(edge(known, "c", "role", "m"), ["m", "role"]), "c", "sup"))
+            fillers = sub(known, "m", "filler").join(ask.select("filler").distinct(), "filler", "left_semi")
+            links = edge(known, "c", "role", "m").join(ask.select("role").distinct(), "role", "left_semi")
+            out.append(under(edge(delta, "c", "role", "m").join(ask, "role").join(fillers, ["m", "filler"]), "c", "sup"))
+            out.append(under(sub(delta, "m", "filler").join(ask, "filler").join(links, ["m", "role"]), "c", "sup"))
         if "nf7" in t:
             for first, second in ((delta, known), (known, delta)):
                 start = edge(first, "c", "first", "m").join(t["nf7"], "first")
-                out.append(to(start.join(edge(second, "m", "second", "d"), ["m", "second"]), "c", "sup", "d"))
-        if "nf5" in t or "nf1" in t:
+                onward = edge(second, "m", "second", "d").join(t["nf7"].select("second").distinct(), "second", "left_semi")
+                out.append(to(start.join(onward, ["m", "second"]), "c", "sup", "d"))
+        if "nf3" in t or "reflexive" in t:  # bottom comes back along every edge, whichever rule gave it
             lost = lambda facts: facts.where((F.col("r") == 0) & (F.col("d") == bottom)).select(F.col("c").alias("m"))
             for e, s in ((delta, known), (known, delta)):
                 out.append(under(edge(e, "c", "role", "m").join(lost(s), "m").withColumn("b", F.lit(bottom)), "c", "b"))
+        if not out:
+            return delta.limit(0)
         got = out[0]
         for x in out[1:]:
             got = got.unionByName(x)
@@ -120,6 +149,12 @@ def complete(axioms: ELAxioms, symbols: DataFrame | None = None) -> DataFrame:
     return fixpoint(seed, step)
 
 
+def consistent(facts: DataFrame) -> bool:
+    """Whether everything is not under nothing."""
+    top, bottom = facts.sparkSession.range(1).select(key(F.lit(TOP)), key(F.lit(BOTTOM))).first()
+    return facts.where((F.col("c") == top) & (F.col("r") == 0) & (F.col("d") == bottom)).isEmpty()
+
+
 def readout(facts: DataFrame, symbols: DataFrame) -> DataFrame:
     """(sub, sup) of named classes without reflexive pairs and top; an unsatisfiable class is under owl:Nothing only."""
     rows = facts.where("r = 0 and c <> d").select("c", "d")

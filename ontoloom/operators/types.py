@@ -3,7 +3,8 @@
 A knowledge base is: gcis (body array, head array: all of body implies some of head), some_right
 (a, role, b: a <= some role.b) and all_right (a, role, b: a <= all role.b) over atomic names. A type is a set of names
 that satisfies every gci. Types grow from the subsets that violated gcis force (branching on heads) and are eliminated
-while an existential has no compatible witness: a greatest fixpoint of anti-joins. The number of types is exponential in the worst case; beyond `cap` the run stops without an answer.
+while an existential has no compatible witness: a greatest fixpoint of anti-joins. The number of types is exponential in the worst case; a caller may set a `cap`, beyond which the
+run stops without an answer.
 """
 
 from __future__ import annotations
@@ -14,30 +15,35 @@ from pyspark.sql import functions as F
 from ..plans.fixpoint import Deferred, small, written
 
 
-def _subset(a, b):
-    return F.size(F.array_except(a, b)) == 0
+def _met(types: DataFrame, gcis: DataFrame) -> DataFrame:
+    """(root, t, id, head): the gcis whose whole body a type has, by an equi-join on the body's names; those without a body hold everywhere."""
+    body = gcis.select("id", F.explode("body").alias("name"), F.size("body").alias("n"))
+    has = types.select("root", "t", F.explode("t").alias("name"))
+    full = has.join(body, "name").groupBy("root", "t", "id", "n").agg(F.count(F.lit(1)).alias("m")).where("m = n").select("root", "t", "id").join(gcis.select("id", "head"), "id")
+    always = small(gcis.where("size(body) = 0").select("id", "head"))
+    return full.select("root", "t", "id", "head").unionByName(types.select("root", "t").join(always).select("root", "t", "id", "head"))
 
 
-def _saturate(types: DataFrame, gcis: DataFrame, cap: int) -> DataFrame:
+def _saturate(types: DataFrame, gcis: DataFrame, cap: int | None) -> DataFrame:
     """Every minimal extension of the types that satisfies all gcis; a gci is worked off one at a time in each type."""
     done = None
-    every, empty = small(gcis), small(gcis.where("size(head) = 0"))
     while True:
-        hit = types.join(every, _subset(F.col("body"), F.col("t")) & ~F.arrays_overlap("head", "t") & (F.size("head") > 0), "left")
-        bad = types.join(empty, _subset(F.col("body"), F.col("t")), "left_semi")
-        open_ = written(hit.groupBy("root", "t").agg(F.min("id").alias("id")).join(bad, ["root", "t"], "left_anti"))
+        met = written(_met(types, gcis))
+        bad = met.where("size(head) = 0").select("root", "t").distinct()
+        hit = met.where(~F.arrays_overlap("head", "t") & (F.size("head") > 0)).groupBy("root", "t").agg(F.min("id").alias("id"))
+        open_ = written(types.join(bad, ["root", "t"], "left_anti").join(hit, ["root", "t"], "left"))
         ok = open_.where("id is null").select("root", "t")
         done = written(ok if done is None else done.unionByName(ok).distinct())
         more = open_.where("id is not null").join(gcis, "id").select("root", "t", F.explode("head").alias("x"))
         types = written(more.select("root", F.array_sort(F.array_union("t", F.array("x"))).alias("t")).distinct())
         n = types.count()
-        if n > cap:
+        if cap is not None and n > cap:
             raise Deferred(f"over {cap} types")
         if not n:
             return done
 
 
-def alive_types(gcis: DataFrame, some_right: DataFrame, all_right: DataFrame, names: list[str], cap: int = 100_000) -> DataFrame:
+def alive_types(gcis: DataFrame, some_right: DataFrame, all_right: DataFrame, names: list[str], cap: int | None = None) -> DataFrame:
     """(root, t): the types that contain a name, are closed under the gcis and have all their witnesses."""
     spark = gcis.sparkSession
     some = small(some_right)
@@ -53,7 +59,7 @@ def alive_types(gcis: DataFrame, some_right: DataFrame, all_right: DataFrame, na
         if new.isEmpty():
             break
         types = written(types.unionByName(_saturate(new, gcis, cap)))
-        if types.count() > cap:
+        if cap is not None and types.count() > cap:
             raise Deferred(f"over {cap} types")
         if new.join(types, "root", "left_semi").count() < new.count():  # seeds without any type stay known by an empty marker
             dead = new.join(types.select("root").distinct(), "root", "left_anti").select("root", F.lit(None).cast("array<string>").alias("t"))

@@ -54,18 +54,23 @@ def non_simple_uses(uses: DataFrame, subrole: DataFrame, chains: DataFrame, tran
 
 
 def not_a_forest(edges: DataFrame) -> DataFrame:
-    """Anonymous individuals' edges (a, b) that break the forest: loops, parallel edges, and cycles by components with as many edges as nodes."""
-    from ..plans.fixpoint import components
+    """Anonymous individuals' edges (a, b) that break the forest: loops, parallel edges, and what is left of components with as many
+    edges as nodes once their leaves have gone, again and again."""
+    from ..plans.fixpoint import components, written
 
     und = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     loops = und.where("a = b").select("a", "b", F.lit("loop").alias("why")).distinct()
     parallel = und.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", F.lit("parallel").alias("why"))
-    plain = und.where("a <> b").distinct()
-    comp = components(plain)
+    plain = written(und.where("a <> b").distinct())
+    comp = written(components(plain))
     nodes = comp.groupBy("rep").agg(F.count(F.lit(1)).alias("nodes"))
-    links = plain.join(comp, F.col("a") == F.col("node")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    cyclic = nodes.join(links, "rep").where("links >= nodes").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit("cycle").alias("why"))
-    return loops.unionByName(parallel).unionByName(cyclic)
+    links = plain.join(comp, F.col("a") == F.col("node")).select("a", "b", "rep")
+    cyclic = nodes.join(links.groupBy("rep").agg(F.count(F.lit(1)).alias("links")), "rep").where("links >= nodes").select("rep")
+    core, n = written(links.join(cyclic, "rep", "left_semi").select("a", "b")), -1
+    while n != (n := core.count()):
+        ends = core.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("x")
+        core = written(core.join(ends.withColumnRenamed("x", "a"), "a", "left_semi").join(ends.withColumnRenamed("x", "b"), "b", "left_semi").select("a", "b"))
+    return loops.unionByName(parallel).unionByName(core.withColumn("why", F.lit("cycle")))
 
 
 def cyclic_datatypes(definitions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
@@ -28,41 +28,43 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut lineage through a Parquet table in the shared folder; its size is known to later plans."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """Cut lineage through a Parquet table in the shared folder, in folders `by` columns if any; its size is known to later plans."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """`written`, and the number of rows, counted by the same job."""
+    seen = Observation()
+    got = written(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return got, seen.get["n"]
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """A broadcast of an axiom table whose size has been checked; a larger one stops the run."""
+    """An axiom table, written; broadcast if it has at most `most` rows, else left to Spark's own joins."""
     kept = written(df)
-    if kept.count() > most:
-        raise Deferred(f"over {most} axioms to broadcast")
-    return F.broadcast(kept)
+    return F.broadcast(kept) if kept.count() <= most else kept
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int = 200) -> DataFrame:
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Semi-naive least fixpoint. `step(delta, known)` derives rows from at least one row of delta; rows of `known`
-    (delta included) are dropped, the rest is the next delta. Every round is written, so a lost executor costs one round."""
+    (delta included) are dropped, the rest is the next delta. Every round is written, so a lost executor costs one round.
+
+    What a round derives is looked up in `known` from its own side: a small delta is broadcast and `known` scanned in place, so the
+    shuffle of a round follows the delta. Facts over a finite set of names end by themselves; there is no cap."""
     columns = seed.columns
-    delta = written(seed.distinct())
-    rounds = [delta]
-    known = delta
-    while not delta.isEmpty():
-        if len(rounds) > max_rounds:
-            raise Deferred(f"no fixpoint after {max_rounds} rounds")
-        new = step(delta, known).select(*columns).distinct()
-        old = known.select(*(F.col(c).alias(f"_{c}") for c in columns))
-        match = F.lit(True)
-        for c in columns:
-            match = match & (F.col(c) == F.col(f"_{c}"))
-        delta = written(new.join(old, match, "left_anti"))
-        rounds.append(delta)
-        known = known.unionByName(delta)
-        if len(rounds) % 8 == 0:  # many small files become few
-            known = written(known)
+    delta, n = counted(seed.distinct())
+    known, rounds = delta, 1
+    while n:
+        new, n = counted(step(delta, known).select(*columns).distinct())
+        if n:
+            old = known.join(new, columns, "left_semi")
+            delta, n = counted(new.join(old, columns, "left_anti"))
+            known, rounds = known.unionByName(delta), rounds + 1
+            if rounds % 8 == 0:  # many small files become few
+                known = written(known)
     return known
 
 

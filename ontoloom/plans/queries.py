@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import literals
-from ..operators import abox, data, el, features, rbox, rules, taxonomy, types, validate
+from ..functions import builtins, facets, literals
+from ..operators import abox, clashes, data, el, features, rbox, rules, taxonomy, types, validate
 from ..sources import answers, ofn
 from ..streaming import incremental
+from . import classify
 from .fixpoint import closure, components, written
 from .kb import KB, ind, label
 
@@ -113,14 +114,20 @@ def el_nf1_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return el.readout(el.complete(axioms, symbols), symbols)
 
 
-@query("SELECT * FROM (VALUES ('A', 'D'), ('B', 'D'), ('E', 'owl:Nothing'), ('G', 'owl:Nothing'), ('H', 'K')) t(sub, sup)")
+@query("""WITH n AS (SELECT 'n' || n_nationkey AS n FROM nation)
+    SELECT n || x AS sub, CASE WHEN y = 'owl:Nothing' THEN y ELSE n || y END AS sup FROM n, (VALUES ('A', 'D'), ('B', 'D'), ('E', 'owl:Nothing'), ('G', 'owl:Nothing'), ('H', 'K'), ('X', 'owl:Nothing'), ('Y', 'owl:Nothing')) t(x, y)""")
 def el_small_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transitivity, bottom through an edge, conjunction and a reflexive role, with the answer by hand."""
+    """For every nation: transitivity, bottom through an edge and through an existential on the left, a reflexive role."""
+    n = KB(spark, sf_dir).table("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("n"))
+    c = lambda x: F.concat("n", F.lit(x))
+    rows = lambda *of: n.select(F.explode(F.array(*of)).alias("x")).select("x.*")
+    link = lambda a, r, b: F.struct(c(a).alias("sub"), F.lit(r).alias("role"), c(b).alias("filler"))
+    back = lambda r, a, b: F.struct(F.lit(r).alias("role"), c(a).alias("filler"), (c(b) if b else F.lit("owl:Nothing")).alias("sup"))
     axioms = el.ELAxioms(
         spark,
-        nf3=_rows(spark, "sub string, role string, filler string", ("A", "r", "B"), ("B", "r", "C"), ("E", "s", "G")),
-        nf4=_rows(spark, "role string, filler string, sup string", ("r", "C", "D"), ("refl", "H", "K")),
-        nf5=_rows(spark, "sub string", ("G",)),
+        nf3=rows(link("A", "r", "B"), link("B", "r", "C"), link("E", "s", "G"), link("X", "r", "F"), link("Y", "s", "X")),
+        nf4=rows(back("r", "C", "D"), back("refl", "H", "K"), back("r", "F", None)),
+        nf5=n.select(c("G").alias("sub")),
         nf7=_rows(spark, "first string, second string, sup string", ("r", "r", "r")),
         reflexive=_rows(spark, "role string", ("refl",)),
     )
@@ -162,33 +169,56 @@ def locality_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.module(axioms, _rows(spark, "name string", ("Nation_NATION_3",))).select(F.col("left")[0].alias("sub"), F.col("right")[0].alias("sup"))
 
 
-@query("SELECT * FROM (VALUES ('1,2'), ('3,4,5')) t(axioms)")
+@query("""SELECT '3,' || (1000 + n_regionkey) AS axioms FROM nation WHERE n_nationkey = 3 UNION ALL SELECT '2003,' || (3000 + n_regionkey) FROM nation WHERE n_nationkey = 3""")
 def explain_minimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = _rows(spark, "id long, sub string, sup string", (1, "A", "B"), (2, "B", "Z"), (3, "A", "C"), (4, "C", "D"), (5, "D", "Z"), (6, "C", "A"), (7, "Z", "Y"))
-    return taxonomy.justifications(told, "A", "Z").select(F.array_join("axioms", ",").alias("axioms"))
+    """Why is nation 3 under Place: through its region, or through its zone; the way through a twin of itself is not minimal."""
+    n = KB(spark, sf_dir).table("nation")
+    link = lambda id_, a, b: F.struct(id_.cast("long").alias("id"), a.alias("sub"), b.alias("sup"))
+    name = lambda p, c: F.concat(F.lit(p), c)
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    told = n.select(F.explode(F.array(
+        link(k, name("N", k), name("R", r)), link(1000 + r, name("R", r), F.lit("Place")), link(2000 + k, name("N", k), name("Z", r)), link(3000 + r, name("Z", r), F.lit("Place")),
+        link(4000 + k, name("N", k), name("T", k)), link(5000 + k, name("T", k), name("N", k)))).alias("x")).select("x.*").distinct()
+    return taxonomy.justifications(told, "N3", "Place").select(F.array_join("axioms", ",").alias("axioms"))
 
 
 # role boxes
 
-_SUBROLE = (("inRegion", "locatedIn"), ("inNation", "locatedIn"), ("locatedIn", "relatedTo"), ("placedBy", "relatedTo"), ("-placed", "placedBy"))
+_ROLES_SQL = "e0(sub, sup) AS (SELECT 'in_n' || n_nationkey, 'in_r' || n_regionkey FROM nation UNION SELECT 'in_r' || r_regionkey, 'in' FROM region UNION SELECT '-holds_r' || r_regionkey, 'in_r' || r_regionkey FROM region)"
 
 
-@query("""WITH RECURSIVE e(sub, sup) AS (VALUES ('inRegion', 'locatedIn'), ('inNation', 'locatedIn'), ('locatedIn', 'relatedTo'), ('placedBy', 'relatedTo'), ('-placed', 'placedBy'),
-    ('-inRegion', '-locatedIn'), ('-inNation', '-locatedIn'), ('-locatedIn', '-relatedTo'), ('-placedBy', '-relatedTo'), ('placed', '-placedBy')),
+def _subroles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A role for every nation under its region's, that under one for all, and an inverse for every region."""
+    t = KB(spark, sf_dir).table
+    role = lambda p, c: F.concat(F.lit(p), c)
+    nations = t("nation").select(role("in_n", "n_nationkey").alias("sub"), role("in_r", "n_regionkey").alias("sup"))
+    regions = t("region").select(F.explode(F.array(F.struct(role("in_r", "r_regionkey").alias("sub"), F.lit("in").alias("sup")), F.struct(role("-holds_r", "r_regionkey").alias("sub"), role("in_r", "r_regionkey").alias("sup")))).alias("x"))
+    return nations.unionByName(regions.select("x.*"))
+
+
+@query(f"""WITH RECURSIVE {_ROLES_SQL}, e(sub, sup) AS (SELECT sub, sup FROM e0 UNION SELECT CASE WHEN sub[1] = '-' THEN sub[2:] ELSE '-' || sub END, CASE WHEN sup[1] = '-' THEN sup[2:] ELSE '-' || sup END FROM e0),
     c(sub, sup) AS (SELECT sub, sup FROM e UNION SELECT sub, sub FROM e UNION SELECT sup, sup FROM e UNION SELECT c.sub, e.sup FROM c JOIN e ON c.sup = e.sub) SELECT sub, sup FROM c""")
 def rbox_super_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rbox.super_closure(_rows(spark, "sub string, sup string", *_SUBROLE))
+    return rbox.super_closure(_subroles(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('locatedIn'), ('relatedTo'), ('orderedFrom')) t(role)")
+@query("""SELECT 'in_n' || n_nationkey AS role FROM nation WHERE n_nationkey % 5 = 0 UNION SELECT 'in_r' || n_regionkey FROM nation WHERE n_nationkey % 5 = 0 UNION SELECT 'in' UNION SELECT 'holds_r' || r_regionkey FROM region WHERE r_regionkey = 1
+    UNION SELECT 'in_r' || r_regionkey FROM region WHERE r_regionkey = 1""")
 def rbox_nonsimple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rbox.non_simple(_rows(spark, "sub string, sup string", *_SUBROLE), _rows(spark, "first string, second string, sup string", ("placedBy", "inNation", "orderedFrom")), _rows(spark, "role string", ("locatedIn",)))
+    """Every fifth nation's role is a chain's, one inverse is transitive: both and all above them are composite."""
+    n = KB(spark, sf_dir).table("nation").where("n_nationkey % 5 = 0").select(F.lit("a").alias("first"), F.lit("b").alias("second"), F.concat(F.lit("in_n"), "n_nationkey").alias("sup"))
+    return rbox.non_simple(_subroles(spark, sf_dir), n, _rows(spark, "role string", ("holds_r1",)))
 
 
-@query("SELECT * FROM (VALUES ('s'), ('t')) t(role)")
+@query("SELECT 's' || n_nationkey AS role FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 't' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0")
 def rbox_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chains = _rows(spark, "first string, second string, sup string", ("r", "t", "s"), ("s", "r", "t"), ("u", "u", "u"), ("v", "u", "v"))
-    return rbox.irregular(_rows(spark, "sub string, sup string", ("r", "q")), chains)
+    """For every nation two chains that need each other's role, if it is even; chains that only begin or end with their own role are regular."""
+    n = KB(spark, sf_dir).table("nation")
+    role = lambda p: F.concat(F.lit(p), "n_nationkey")
+    chain = lambda a, b, c: F.struct(a.alias("first"), b.alias("second"), c.alias("sup"))
+    back = F.when(F.col("n_nationkey") % 2 == 0, role("s")).otherwise(role("q"))
+    chains = n.select(F.explode(F.array(chain(role("r"), role("t"), role("s")), chain(back, role("r"), role("t")), chain(role("u"), role("u"), role("u")), chain(role("v"), role("u"), role("v")))).alias("x")).select("x.*")
+    return rbox.irregular(n.select(role("r").alias("sub"), role("p").alias("sup")), chains)
 
 
 _GEO = """geo(src, dst) AS (SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
@@ -245,9 +275,12 @@ def abox_types_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FACTS} SELECT ind, cls FROM facts")
 def abox_types_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Told types with classes far above them, which must go again."""
     kb = KB(spark, sf_dir)
     told = written(kb.tbox())
-    return abox.direct_types(written(abox.all_types(kb.classes("customer", "orders", "part"), told)), told).select(label("ind").alias("ind"), "cls")
+    facts = kb.classes("customer", "orders", "part")
+    far = kb.classes("customer").select("ind", F.lit("Agent").alias("cls")).unionByName(kb.classes("part").select("ind", F.lit("Product").alias("cls")))
+    return abox.direct_types(written(abox.all_types(facts, told, far)), told).select(label("ind").alias("ind"), "cls")
 
 
 @query("""WITH o AS (SELECT 'o' || o_orderkey AS ind, 'c' || o_custkey AS c, o_orderpriority AS p, c_mktsegment AS s FROM orders JOIN customer ON o_custkey = c_custkey),
@@ -275,13 +308,12 @@ def abox_same_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abox.same_by_key(rows, "node", ["c_nationkey", "c_mktsegment", "b"]).select(label("node").alias("node"), label("rep").alias("rep"))
 
 
-@query("""WITH RECURSIVE e(a, b) AS (SELECT DISTINCT 's' || l1.l_suppkey, 's' || l2.l_suppkey FROM lineitem l1 JOIN lineitem l2 ON l1.l_orderkey = l2.l_orderkey WHERE l1.l_orderkey % 500 = 0 AND l2.l_orderkey % 500 = 0),
+@query("""WITH RECURSIVE e(a, b) AS (SELECT DISTINCT 's' || l1.l_suppkey, 's' || l2.l_suppkey FROM lineitem l1 JOIN lineitem l2 ON l1.l_orderkey = l2.l_orderkey),
     r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
     SELECT a AS node, 's' || min(CAST(substr(b, 2) AS BIGINT)) AS rep FROM r GROUP BY a HAVING count(DISTINCT b) > 1""")
 def abox_same_functional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """suppliedBy taken as functional on every five-hundredth order: suppliers of one order are one."""
-    lines = KB(spark, sf_dir).table("lineitem").where("l_orderkey % 500 = 0")
-    facts = lines.select(F.lit("suppliedBy").alias("role"), ind("orders", "l_orderkey").alias("src"), ind("supplier", "l_suppkey").alias("dst"))
+    """suppliedBy taken as functional: suppliers of one order are one."""
+    facts = KB(spark, sf_dir).table("lineitem").select(F.lit("suppliedBy").alias("role"), ind("orders", "l_orderkey").alias("src"), ind("supplier", "l_suppkey").alias("dst"))
     return abox.same_functional(facts, _rows(spark, "role string", ("suppliedBy",))).select(label("node").alias("node"), label("rep").alias("rep"))
 
 
@@ -341,7 +373,7 @@ def rule_builtin_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = rules.chase(
         edges.unionByName(price.select("pred", "s", "o")).unionByName(seg),
         [
-            rules.Rule((a("placedBy", "?x", "?c"), a("price", "?x", "?v")), a("BigSpender", "?c"), "v >= 100000"),
+            rules.Rule((a("placedBy", "?x", "?c"), a("price", "?x", "?v")), a("BigSpender", "?c"), builtins.where(("swrlb:greaterThanOrEqual", "?v", 100000))),
             rules.Rule((a("BigSpender", "?c"), a("Segment_BUILDING", "?c"), a("inNation", "?c", "?n")), a("RichNation", "?n")),
         ],
     )
@@ -388,9 +420,9 @@ def data_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.binned_members(facts, ranges, 25.0).select(label("ind").alias("ind"), "range_name")
 
 
-@query(f"WITH {_RANGES_SQL}, b AS (SELECT CAST(low AS DOUBLE) AS v FROM r UNION SELECT CAST(high AS DOUBLE) FROM r) SELECT v AS low, lead(v) OVER (ORDER BY v) AS high FROM b UNION ALL SELECT NULL, min(v) FROM b")
+@query("WITH b AS (SELECT DISTINCT CAST(p_retailprice AS DOUBLE) AS v FROM part) SELECT v AS low, lead(v) OVER (ORDER BY v) AS high FROM b UNION ALL SELECT NULL, min(v) FROM b")
 def data_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data.cells(_rows(spark, "name string, low double, high double", *_RANGES).select(F.explode(F.array("low", "high")).alias("value")))
+    return data.cells(KB(spark, sf_dir).table("part").select(F.col("p_retailprice").cast("double").alias("value")))
 
 
 @query(f"""WITH {_RANGES_SQL}, m AS (SELECT c_custkey, string_agg(range_name, ',' ORDER BY range_name) AS v FROM customer JOIN r ON c_acctbal >= low AND c_acctbal < high GROUP BY 1)
@@ -405,20 +437,32 @@ def data_functional_clash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.functional_clash(rows).select(label("ind").alias("ind"), "prop")
 
 
-@query("SELECT * FROM (VALUES ('q')) t(prop)")
+@query("SELECT 'c' || o_custkey AS prop FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) > 1 AND count(DISTINCT o_orderkey % 2) > 1")
 def data_range_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data.empty_ranges(_rows(spark, "prop string, items array<string>", ("p", ["1", "2"]), ("p", ["2", "3"]), ("q", ["1"]), ("q", ["2", "2"])))
-
-
-@query("""SELECT * FROM (VALUES ('+007', 'xsd:integer', true, 'n:7'), ('7.0', 'xsd:decimal', true, 'n:7'), ('-0.50', 'xsd:decimal', true, 'n:-0.5'), ('256', 'xsd:unsignedByte', false, 'n:256'), ('-128', 'xsd:byte', true, 'n:-128'),
-    ('1', 'xsd:boolean', true, 'b:true'), ('NaN', 'xsd:double', true, 'd:NaN'), ('-0', 'xsd:double', true, 'd:-0.0'), ('1e1', 'xsd:double', true, 'd:10.0'), ('0a', 'xsd:hexBinary', true, 'x:0A'),
-    ('2024-02-29T10:00:00.500Z', 'xsd:dateTime', true, 't:2024-02-29T10:00:00.5Z'), ('2024-02-29T10:00:00+01:00', 'xsd:dateTime', true, 't:2024-02-29T10:00:00+01:00'), ('x', 'rdfs:Literal', false, 's:x@'), ('18446744073709551615', 'xsd:unsignedLong', true, 'n:18446744073709551615'))
-    t(lex, dt, ok, value_key)""")
+    """A property for every customer, with an enumerated range for every order: its priority and its parity."""
+    items = F.array("o_orderpriority", (F.col("o_orderkey") % 2).cast("string"), "o_orderpriority")
+    return data.empty_ranges(KB(spark, sf_dir).table("orders").select(F.concat(F.lit("c"), "o_custkey").alias("prop"), items.alias("items")))
+
+
+@query("""WITH k AS (SELECT o_orderkey AS k FROM orders)
+    SELECT '+00' || k AS lex, 'xsd:integer' AS dt, true AS ok, 'n:' || k AS value_key FROM k
+    UNION ALL SELECT '-0' || k || '.50', 'xsd:decimal', true, 'n:-' || k || '.5' FROM k
+    UNION ALL SELECT CAST(k AS VARCHAR), 'xsd:unsignedByte', k <= 255, 'n:' || k FROM k
+    UNION ALL SELECT '-' || k, 'xsd:short', k <= 32768, 'n:' || CAST(-k AS VARCHAR) FROM k
+    UNION ALL SELECT CASE WHEN k % 2 = 0 THEN '1' ELSE 'false' END, 'xsd:boolean', true, CASE WHEN k % 2 = 0 THEN 'b:true' ELSE 'b:false' END FROM k
+    UNION ALL SELECT CASE k % 3 WHEN 0 THEN 'NaN' WHEN 1 THEN '-0' ELSE 'INF' END, 'xsd:double', true, CASE k % 3 WHEN 0 THEN 'd:NaN' WHEN 1 THEN 'd:-0.0' ELSE 'd:INF' END FROM k
+    UNION ALL SELECT 'a' || k, 'xsd:hexBinary', length(CAST(k AS VARCHAR)) % 2 = 1, 'x:A' || k FROM k
+    UNION ALL SELECT '2024-02-29T10:00:00.' || k || '00Z', 'xsd:dateTime', true, 't:2024-02-29T10:00:00' || CASE k WHEN 0 THEN '' ELSE '.' || rtrim(CAST(k AS VARCHAR), '0') END || 'Z' FROM k
+    UNION ALL SELECT 'x' || k, 'rdfs:Literal', false, 's:x' || k || '@' FROM k""")
 def data_literal_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(
-        spark, "lex string, dt string", ("+007", "xsd:integer"), ("7.0", "xsd:decimal"), ("-0.50", "xsd:decimal"), ("256", "xsd:unsignedByte"), ("-128", "xsd:byte"), ("1", "xsd:boolean"), ("NaN", "xsd:double"), ("-0", "xsd:double"),
-        ("1e1", "xsd:double"), ("0a", "xsd:hexBinary"), ("2024-02-29T10:00:00.500Z", "xsd:dateTime"), ("2024-02-29T10:00:00+01:00", "xsd:dateTime"), ("x", "rdfs:Literal"), ("18446744073709551615", "xsd:unsignedLong"),
-    )
+    """Nine spellings for every order number."""
+    k = F.col("o_orderkey").cast("string")
+    n = F.col("o_orderkey")
+    spelled = lambda lex, dt: F.struct(lex.alias("lex"), F.lit(dt).alias("dt"))
+    rows = KB(spark, sf_dir).table("orders").select(F.explode(F.array(
+        spelled(F.concat(F.lit("+00"), k), "xsd:integer"), spelled(F.concat(F.lit("-0"), k, F.lit(".50")), "xsd:decimal"), spelled(k, "xsd:unsignedByte"), spelled(F.concat(F.lit("-"), k), "xsd:short"),
+        spelled(F.when(n % 2 == 0, "1").otherwise("false"), "xsd:boolean"), spelled(F.when(n % 3 == 0, "NaN").when(n % 3 == 1, "-0").otherwise("INF"), "xsd:double"), spelled(F.concat(F.lit("a"), k), "xsd:hexBinary"),
+        spelled(F.concat(F.lit("2024-02-29T10:00:00."), k, F.lit("00Z")), "xsd:dateTime"), spelled(F.concat(F.lit("x"), k), "rdfs:Literal"))).alias("x")).select("x.*")
     return rows.select("lex", "dt", literals.valid(F.col("lex"), F.col("dt")).alias("ok"), literals.value_key(F.col("lex"), F.col("dt")).alias("value_key"))
 
 
@@ -439,82 +483,122 @@ def nominal_oneof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # types, validation, structure, updates
 
-@query("SELECT * FROM (VALUES ('A', 'D'), ('B', 'D'), ('C', 'D'), ('P', 'S'), ('U', 'owl:Nothing')) t(sub, sup)")
+@query("""WITH n AS (SELECT 'n' || n_nationkey AS n FROM nation)
+    SELECT n || x AS sub, CASE WHEN y = 'owl:Nothing' THEN y ELSE n || y END AS sup FROM n, (VALUES ('A', 'D'), ('B', 'D'), ('C', 'D'), ('P', 'S'), ('U', 'owl:Nothing')) t(x, y)""")
 def alc_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Disjunction (A <= B or C, both under D), an existential met by a universal (P), and a clash (U), with the answer by hand."""
-    gcis = _rows(
-        spark, "id long, body array<string>, head array<string>", (1, ["A"], ["B", "C"]), (2, ["B"], ["D"]), (3, ["C"], ["D"]), (4, ["Q", "R"], []),
-        (5, ["NoQR"], []), (6, ["P"], ["S"]),
-    )
-    some = _rows(spark, "a string, role string, b string", ("P", "r", "Q"), ("U", "r", "Q"))
-    every = _rows(spark, "a string, role string, b string", ("P", "r", "T"), ("U", "r", "R"))
-    names = ["A", "B", "C", "D", "P", "S", "U"]
-    return types.subsumptions(types.alive_types(gcis, some, every, names), names)
-
-
-@query("SELECT * FROM (VALUES ('Ghost', 'Class'), ('likes', 'ObjectProperty')) t(name, kind)")
+    """For every nation a disjunction (A <= B or C, both under D), an existential met by a universal (P), and a clash (U)."""
+    keys = KB(spark, sf_dir).table("nation").select("n_nationkey", F.concat(F.lit("n"), "n_nationkey").alias("n"))
+    name = lambda x: F.concat("n", F.lit(x))
+    names = lambda *xs: F.array(*map(name, xs)) if xs else F.array().cast("array<string>")
+    rule = lambda i, body, head: F.struct((10 * F.col("n_nationkey") + i).cast("long").alias("id"), names(*body).alias("body"), names(*head).alias("head"))
+    gcis = keys.select(F.explode(F.array(rule(1, "A", "BC"), rule(2, "B", "D"), rule(3, "C", "D"), rule(4, "QR", ""), rule(6, "P", "S"))).alias("x")).select("x.*")
+    link = lambda a, b: F.struct(name(a).alias("a"), F.lit("r").alias("role"), name(b).alias("b"))
+    some, every = (keys.select(F.explode(F.array(*x)).alias("x")).select("x.*") for x in ((link("P", "Q"), link("U", "Q")), (link("P", "T"), link("U", "R"))))
+    classes = [r[0] for r in keys.select(F.explode(names(*"ABCDPSU")).alias("x")).collect()]
+    return types.subsumptions(types.alive_types(gcis, some, every, classes), classes)
+
+
+@query("SELECT 'Nation' || n_nationkey AS name, 'Class' AS kind FROM nation WHERE n_regionkey > 2 UNION SELECT 'likes' || n_nationkey, 'ObjectProperty' FROM nation WHERE n_nationkey % 2 = 0")
 def validate_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uses = _rows(spark, "name string, kind string", ("Person", "Class"), ("Ghost", "Class"), ("likes", "ObjectProperty"), ("bob", "NamedIndividual"), ("owl:Thing", "Class"))
-    return validate.undeclared(uses, _rows(spark, "name string, kind string", ("Person", "Class"), ("likes", "DataProperty")))
+    """Nations use a class and a role each; some declare none, some declare the role as another kind."""
+    n = KB(spark, sf_dir).table("nation")
+    named = lambda p, kind, c: F.struct(F.concat(F.lit(p), "n_nationkey").alias("name"), F.lit(kind).alias("kind")) if c is None else F.when(c, named(p, kind, None))
+    rows = lambda *of: n.select(F.explode(F.array(*of)).alias("x")).where("x is not null").select("x.*")
+    uses = rows(named("Nation", "Class", None), named("likes", "ObjectProperty", None), named("bob", "NamedIndividual", None)).unionByName(_rows(spark, "name string, kind string", ("owl:Thing", "Class")))
+    odd = F.col("n_nationkey") % 2 == 1
+    return validate.undeclared(uses, rows(named("Nation", "Class", F.col("n_regionkey") <= 2), named("likes", "ObjectProperty", odd), named("likes", "DataProperty", ~odd)))
 
 
-@query("SELECT * FROM (VALUES ('likes')) t(name)")
+@query("SELECT 'likes' || n_nationkey AS name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'Kind' || n_nationkey FROM nation WHERE n_regionkey = 2")
 def validate_punning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.punned(_rows(spark, "name string, kind string", ("likes", "ObjectProperty"), ("likes", "DataProperty"), ("Eagle", "Class"), ("Eagle", "NamedIndividual")))
+    n = KB(spark, sf_dir).table("nation")
+    name = lambda p: F.concat(F.lit(p), "n_nationkey")
+    rows = n.select(F.explode(F.array(
+        F.struct(name("likes").alias("name"), F.lit("ObjectProperty").alias("kind")), F.struct(name("likes").alias("name"), F.when(F.col("n_regionkey") == 1, "DataProperty").otherwise("NamedIndividual").alias("kind")),
+        F.struct(name("Kind").alias("name"), F.lit("Class").alias("kind")), F.struct(name("Kind").alias("name"), F.when(F.col("n_regionkey") == 2, "Datatype").otherwise("NamedIndividual").alias("kind")))).alias("x"))
+    return validate.punned(rows.select("x.*"))
 
 
-@query("""SELECT 'n' || min(n_nationkey) AS a, 'n' || min(n_nationkey) AS b, 'cycle' AS why FROM nation""")
+@query("""SELECT 'n' || least(a, b) AS a, 'n' || greatest(a, b) AS b, 'cycle' AS why FROM (SELECT n_nationkey AS a, (n_nationkey + 1) % 25 AS b FROM nation)
+    UNION ALL SELECT 'c' || c_custkey, 'c' || c_custkey, 'loop' FROM customer WHERE c_acctbal < -900""")
 def validate_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations in a ring, customers hanging on them as leaves: one cycle."""
+    """Nations in a ring, customers hanging on them as leaves, some customers tied to themselves."""
     kb = KB(spark, sf_dir)
     n = kb.table("nation").select("n_nationkey")
     ring = n.select(ind("nation", "n_nationkey").alias("a"), (((F.col("n_nationkey") + 1) % 25).cast("long") * 8 + 4).alias("b"))
     leaves = kb.roles("inNation").where("src % 8 = 0").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    got = validate.not_a_forest(ring.unionByName(leaves))
-    comp = got.join(n.agg((F.min("n_nationkey") * 8 + 4).cast("long").alias("low")))
-    return comp.select(label("low").alias("a"), label("low").alias("b"), "why")
+    own = kb.table("customer").where("c_acctbal < -900").select(ind("customer", "c_custkey").alias("a"), ind("customer", "c_custkey").alias("b"))
+    return validate.not_a_forest(ring.unionByName(leaves).unionByName(own)).select(label("a").alias("a"), label("b").alias("b"), "why")
 
 
-@query("""SELECT * FROM (VALUES ('a', 'declared twice'), ('owl', 'standard prefix rebound')) t(prefix, why)""")
+@query("SELECT 'p' || n_nationkey AS prefix, 'declared twice' AS why FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'owl', 'standard prefix rebound'")
 def validate_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.duplicate_prefixes(_rows(spark, "prefix string, iri string", ("a", "http://a/"), ("a", "http://b/"), ("owl", "http://else/"), ("xsd", validate.STANDARD["xsd"])))
+    n = KB(spark, sf_dir).table("nation")
+    mine = n.select(F.concat(F.lit("p"), "n_nationkey").alias("prefix"), F.explode(F.when(F.col("n_nationkey") % 3 == 0, F.array(F.lit("http://a/"), F.lit("http://b/"))).otherwise(F.array(F.lit("http://a/")))).alias("iri"))
+    return validate.duplicate_prefixes(mine.unionByName(_rows(spark, "prefix string, iri string", ("owl", "http://else/"), ("xsd", validate.STANDARD["xsd"]))))
 
 
-@query("SELECT * FROM (VALUES ('T1', 'cyclic'), ('T2', 'cyclic'), ('T3', 'defined twice')) t(name, why)")
+@query("SELECT 'T' || n_nationkey AS name, 'cyclic' AS why FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 'U' || n_nationkey, 'defined twice' FROM nation WHERE n_regionkey = 1")
 def validate_datatypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.cyclic_datatypes(_rows(spark, "name string, uses string, definition string", ("T1", "T2", "d1"), ("T2", "T1", "d2"), ("T3", "xsd:int", "d3"), ("T3", "xsd:byte", "d4")))
-
-
-_DOCS = (
-    ("one", "Prefix(:=<http://e/>) # comment\nOntology(<http://e/o> Declaration(Class(:A)) Declaration(Class(:B)) SubClassOf(:A :B) SubClassOf(:A ObjectSomeValuesFrom(:r :B)) SubClassOf(ObjectSomeValuesFrom(:r :B) :C) EquivalentClasses(:B :D))"),
-    ("two", 'Ontology(SubClassOf(:X ObjectUnionOf(:Y :Z)) TransitiveObjectProperty(:p) DataPropertyAssertion(:u :a "say \\"(hi)\\""^^xsd:string) SubClassOf(:Y :W) SubClassOf(:Z :W))'),
-)
-
-
-def _docs(spark: SparkSession) -> DataFrame:
-    return ofn.parse_rows(_rows(spark, "ontology string, value string", *_DOCS))
-
-
-@query("""SELECT * FROM (VALUES ('one', 'Prefix', 1), ('one', 'Declaration', 2), ('one', 'SubClassOf', 3), ('one', 'EquivalentClasses', 1), ('two', 'SubClassOf', 3), ('two', 'TransitiveObjectProperty', 1), ('two', 'DataPropertyAssertion', 1)) t(ontology, head, n)""".replace("SELECT * FROM", "SELECT ontology, head, CAST(n AS BIGINT) AS n FROM"))
+    """Datatypes of nations of region 0 use each other in a ring, those of region 1 have two definitions."""
+    n = KB(spark, sf_dir).table("nation")
+    ring = n.where("n_regionkey = 0").select("n_nationkey")
+    low = ring.agg(F.min("n_nationkey").alias("low"))
+    following = ring.alias("x").join(ring.alias("y"), F.col("x.n_nationkey") < F.col("y.n_nationkey"), "left").groupBy(F.col("x.n_nationkey").alias("k")).agg(F.min("y.n_nationkey").alias("k2"))
+    uses = following.join(low).select(F.concat(F.lit("T"), "k").alias("name"), F.concat(F.lit("T"), F.coalesce("k2", "low")).alias("uses"), F.lit("d").alias("definition"))
+    twice = n.where("n_regionkey > 0").select(F.concat(F.lit("U"), "n_nationkey").alias("name"), F.explode(F.when(F.col("n_regionkey") == 1, F.array(F.lit("xsd:int"), F.lit("xsd:byte"))).otherwise(F.array(F.lit("xsd:int")))).alias("uses"))
+    return validate.cyclic_datatypes(uses.unionByName(twice.select("name", "uses", F.col("uses").alias("definition"))))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ontology, value): one document a region, in functional syntax, of its nations and their customers."""
+    t = KB(spark, sf_dir).table
+    n = t("nation").select("n_nationkey", "n_regionkey")
+    wide = F.when(F.col("n_regionkey") == 1, "SubClassOf(:N%1$d ObjectUnionOf(:East :West)) ").when(F.col("n_regionkey") == 2, "InverseObjectProperties(:in%1$d :has%1$d) ").otherwise("")
+    nation = F.format_string("Declaration(Class(:N%1$d)) SubClassOf(:N%1$d ObjectSomeValuesFrom(:in :R%2$d)) ", "n_nationkey", "n_regionkey")
+    nation = F.concat(nation, F.when(wide == "", "").otherwise(F.regexp_replace(wide, r"%1\$d", F.col("n_nationkey").cast("string"))))
+    customer = F.format_string("SubClassOf(:C%d ObjectIntersectionOf(:S%s ObjectSomeValuesFrom(:in :N%d))) ", "c_custkey", "c_mktsegment", "c_nationkey")
+    customers = t("customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey", customer.alias("line"))
+    heads = t("region").select(F.col("r_regionkey").alias("n_regionkey"), F.format_string(
+        "TransitiveObjectProperty(:in) EquivalentClasses(:Builder%1$d ObjectIntersectionOf(:SBUILDING ObjectSomeValuesFrom(:in :R%1$d))) DisjointClasses(:SBUILDING :SMACHINERY :SHOUSEHOLD) ", "r_regionkey").alias("line"))
+    lines = n.select("n_regionkey", nation.alias("line")).unionByName(customers).unionByName(heads)
+    body = F.array_join(F.array_sort(F.collect_list("line")), "\n")
+    return lines.groupBy("n_regionkey").agg(body.alias("body")).select(F.format_string("region %d", "n_regionkey").alias("ontology"), F.concat(F.lit("Prefix(:=<http://e/>) # one region\nOntology(<http://e/o>\n"), "body", F.lit(")")).alias("value"))
+
+
+@query("""WITH r AS (SELECT 'region ' || r_regionkey AS ontology, r_regionkey AS k FROM region), n AS (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY 1),
+    c AS (SELECT n_regionkey AS k, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), x AS (SELECT * FROM r JOIN n USING (k) LEFT JOIN c USING (k))
+    SELECT ontology, 'Prefix' AS head, CAST(1 AS BIGINT) AS n FROM r UNION ALL SELECT ontology, h, 1 FROM r, (VALUES ('TransitiveObjectProperty'), ('EquivalentClasses'), ('DisjointClasses')) t(h)
+    UNION ALL SELECT ontology, 'Declaration', n FROM x UNION ALL SELECT ontology, 'SubClassOf', CAST(n + coalesce(c, 0) + CASE WHEN k = 1 THEN n ELSE 0 END AS BIGINT) FROM x
+    UNION ALL SELECT ontology, 'InverseObjectProperties', n FROM x WHERE k = 2""")
 def construct_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.census(_docs(spark))
+    return features.census(ofn.parse_rows(_texts(spark, sf_dir)))
 
 
-@query("SELECT * FROM (VALUES ('one', 'el'), ('two', 'alc')) t(ontology, route)")
+@query("SELECT 'region ' || r_regionkey AS ontology, CASE r_regionkey WHEN 1 THEN 'alc' WHEN 2 THEN 'deferred' ELSE 'el' END AS route FROM region")
 def feature_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.route(features.vector(_docs(spark)))
+    return features.route(features.vector(ofn.parse_rows(_texts(spark, sf_dir))))
 
 
-@query("SELECT * FROM (VALUES (':A', ':B'), (':A', ':C'), (':A', ':D'), (':B', ':D'), (':D', ':B')) t(sub, sup)")
+@query("""WITH c AS (SELECT 'C' || c_custkey AS sub, c_mktsegment AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 3)
+    SELECT 'CONSISTENT 1' AS value UNION ALL SELECT concat('SUB', chr(9), ':', sub, chr(9), ':S', seg) FROM c UNION ALL SELECT concat('SUB', chr(9), ':', sub, chr(9), ':Builder3') FROM c WHERE seg = 'BUILDING'
+    UNION ALL SELECT concat('SUB', chr(9), ':Builder3', chr(9), ':SBUILDING')""")
 def ofn_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text ontology through the parser, the normal forms and EL completion."""
-    axioms = written(_docs(spark).where("ontology = 'one'"))
-    forms = ofn.normal_forms(axioms)
-    tables = {k: v for k, v in forms.items() if k != "rest"}
-    tables["nf1"] = tables["nf1"].unionByName(ofn.told(axioms.where("head = 'EquivalentClasses'")))
-    kb = el.ELAxioms(spark, **tables)
-    symbols = kb.symbols()
-    return el.readout(el.complete(kb, symbols), symbols)
+    """A text ontology through the parser, the structural transformation, EL completion and the line sink."""
+    return classify.lines(ofn.parse_rows(_texts(spark, sf_dir).where("ontology = 'region 3'")))
+
+
+@query("""SELECT concat('SUB', chr(9), ':Only', n_nationkey, chr(9), ':Some', n_nationkey) AS value FROM nation WHERE n_regionkey = 1 UNION ALL SELECT concat('SUB', chr(9), ':N', n_nationkey, chr(9), ':Side') FROM nation WHERE n_regionkey = 1
+    UNION ALL SELECT concat('SUB', chr(9), x, chr(9), ':Side') FROM (VALUES (':East'), (':West')) t(x) UNION ALL SELECT concat('UNSAT', chr(9), ':Both', n_nationkey) FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'CONSISTENT 1'""")
+def alc_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text with unions, universals on both sides and complements, through type elimination."""
+    n = KB(spark, sf_dir).table("nation").where("n_regionkey = 1")
+    line = F.format_string(
+        "SubClassOf(:N%1$d ObjectUnionOf(:East :West)) SubClassOf(:Only%1$d ObjectAllValuesFrom(:r%1$d :East)) EquivalentClasses(:Some%1$d ObjectAllValuesFrom(:r%1$d ObjectUnionOf(:East :West))) "
+        "SubClassOf(:Both%1$d ObjectIntersectionOf(ObjectSomeValuesFrom(:r%1$d :N%1$d) ObjectAllValuesFrom(:r%1$d ObjectComplementOf(:Side))))", "n_nationkey")
+    text = n.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
+    text = text.select(F.lit("alc").alias("ontology"), F.concat(F.lit("Ontology(<http://e/o> SubClassOf(:East :Side) SubClassOf(:West :Side)\n"), "body", F.lit(")")).alias("value"))
+    return classify.lines(ofn.parse_rows(text))
 
 
 @query("""WITH r(role, src, dst) AS (SELECT 'placedBy', 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION ALL SELECT 'hasPart', 'o' || l_orderkey, 'p' || l_partkey FROM lineitem),
@@ -538,13 +622,98 @@ def incremental_row_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.changed(before, after)
 
 
-@query("""WITH RECURSIVE e(a, b) AS (SELECT DISTINCT l_partkey, l_suppkey + 1000000000 FROM lineitem WHERE l_orderkey % 200 = 1), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e(a, b) AS (SELECT DISTINCT c_custkey, 1000000000 + c_nationkey * 1000 + CAST(floor(c_acctbal / 100) AS BIGINT) FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS node, least(a, min(b)) AS rep FROM r GROUP BY a""")
 def equality_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = KB(spark, sf_dir).table("lineitem").where("l_orderkey % 200 = 1").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b"))
+    """Customers tied through what they share: a nation and a band of their balance."""
+    rows = KB(spark, sf_dir).table("customer").select(F.col("c_custkey").cast("long").alias("a"), (1_000_000_000 + F.col("c_nationkey") * 1000 + F.floor(F.col("c_acctbal") / 100)).cast("long").alias("b"))
     return components(rows)
 
 
 @query(f"WITH RECURSIVE {TBOX} SELECT concat('SUB', chr(9), sub, chr(9), sup) AS value FROM closed")
 def answer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.lines(closure(KB(spark, sf_dir).tbox(), "sub", "sup"))
+
+
+# clashes and the answer they add up to
+
+def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(role, src, dst): nations of customers and of the suppliers of their orders."""
+    kb = KB(spark, sf_dir)
+    home = kb.roles("inNation").select("src", F.col("dst").alias("nation"))
+    buyer = kb.roles("placedBy").select(F.col("src").alias("order"), F.col("dst").alias("src")).join(home, "src").select("order", F.col("nation").alias("src"))
+    seller = kb.roles("suppliedBy").select(F.col("src").alias("order"), F.col("dst").alias("s")).join(home.withColumnRenamed("src", "s"), "s").select("order", F.col("nation").alias("dst"))
+    return buyer.join(seller, "order").select(F.lit("buysFrom").alias("role"), "src", "dst").distinct()
+
+
+_TRADES = "trades(src, dst) AS (SELECT DISTINCT c_nationkey, s_nationkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey)"
+
+
+@query(f"WITH {_TRADES} SELECT 'buysFrom' AS role, 'n' || src AS src FROM trades WHERE src = dst")
+def clash_irreflexive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clashes.irreflexive(_trades(spark, sf_dir), _rows(spark, "role string", ("buysFrom",))).select("role", label("src").alias("src"))
+
+
+@query(f"WITH {_TRADES} SELECT 'buysFrom' AS role, 'n' || a.src AS src, 'n' || a.dst AS dst FROM trades a JOIN trades b ON a.src = b.dst AND a.dst = b.src WHERE a.src <= a.dst")
+def clash_asymmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clashes.asymmetric(_trades(spark, sf_dir), _rows(spark, "role string", ("buysFrom",))).select("role", label("src").alias("src"), label("dst").alias("dst"))
+
+
+@query("""SELECT 'openFor' AS a, 'urgentFor' AS b, 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'""")
+def clash_disjoint_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = KB(spark, sf_dir).table("orders")
+    ends = (ind("orders", "o_orderkey").alias("src"), ind("customer", "o_custkey").alias("dst"))
+    facts = t.where("o_orderstatus = 'O'").select(F.lit("openFor").alias("role"), *ends).unionByName(t.where("o_orderpriority = '1-URGENT'").select(F.lit("urgentFor").alias("role"), *ends))
+    return clashes.disjoint_roles(facts, _rows(spark, "a string, b string", ("openFor", "urgentFor"))).select("a", "b", label("src").alias("src"), label("dst").alias("dst"))
+
+
+@query(f"WITH {_TRADES} SELECT 'n' || src AS ind, 'HomeTrader' AS cls FROM trades WHERE src = dst")
+def has_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clashes.self_members(_trades(spark, sf_dir), _rows(spark, "role string, cls string", ("buysFrom", "HomeTrader"))).select(label("ind").alias("ind"), "cls")
+
+
+@query("""SELECT 'suppliedBy' AS role, 'o' || l_orderkey AS src, max(n) AS n FROM (SELECT l_orderkey, s_nationkey, count(DISTINCT l_suppkey) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2) WHERE n > 1 GROUP BY l_orderkey""")
+def clash_too_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most one supplier an order, where the suppliers of one nation are all different."""
+    kb = KB(spark, sf_dir)
+    groups = kb.table("supplier").select(F.col("s_nationkey").alias("grp"), ind("supplier", "s_suppkey").alias("ind"))
+    return clashes.too_many(kb.roles("suppliedBy"), _rows(spark, "role string, most int", ("suppliedBy", 1)), groups).select("role", label("src").alias("src"), "n")
+
+
+@query(f"""WITH {_TRADES}, x(why, n) AS (SELECT 'irreflexive', count(*) FROM trades WHERE src = dst UNION ALL SELECT 'disjoint', count(*) FROM customer WHERE c_acctbal < 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)
+    UNION ALL SELECT 'negative', 0) SELECT why, n FROM x UNION ALL SELECT 'consistent', CAST(sum(n) = 0 AS BIGINT) FROM x""")
+def consistency_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check's offenders, and the one answer: 1 if there are none."""
+    nothing = abox.negative_clash(KB(spark, sf_dir).roles("inRegion"), _rows(spark, "role string, src long, dst long", ("inRegion", 0, 0)))
+    checks = written(clashes.consistency({"irreflexive": clash_irreflexive(spark, sf_dir), "disjoint": abox_clash_disjoint(spark, sf_dir), "negative": nothing}))
+    return checks.unionByName(clashes.consistent(checks).select(F.lit("consistent").alias("why"), F.col("consistent").cast("long").alias("n")))
+
+
+@query("""SELECT 'p' || p_partkey AS ind, p_retailprice >= 950.5 AS dear, p_size < 20 AS small, length(p_name) <= 12 AS brief, regexp_full_match(p_brand, 'Brand#[1-3][0-9]') AS low_brand FROM part""")
+def data_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds, lengths and patterns of literals."""
+    text = lambda c: F.col(c).cast("string")
+    return KB(spark, sf_dir).table("part").select(
+        F.concat(F.lit("p"), "p_partkey").alias("ind"), facets.meets(text("p_retailprice"), "xsd:double", "xsd:minInclusive", "950.5").alias("dear"), facets.meets(text("p_size"), "xsd:integer", "xsd:maxExclusive", "20").alias("small"),
+        facets.meets(F.col("p_name"), "xsd:string", "xsd:maxLength", "12").alias("brief"), facets.meets(F.col("p_brand"), "xsd:string", "xsd:pattern", "Brand#[1-3][0-9]").alias("low_brand"),
+    )
+
+
+@query("""SELECT DISTINCT 'c' || o_custkey AS ind, 'Discounted' AS cls FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE floor(l_quantity * 2) + 1 > 90""")
+def rule_builtins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule with arithmetic built-ins: the quantity doubled and one added is over ninety."""
+    kb = KB(spark, sf_dir)
+    placed = kb.roles("placedBy").select(F.col("role").alias("pred"), F.col("src").alias("s"), F.col("dst").alias("o"))
+    amount = kb.table("lineitem").select(F.lit("quantity").alias("pred"), ind("orders", "l_orderkey").alias("s"), F.floor(F.col("l_quantity") * 2).alias("o"))
+    a = rules.Atom
+    rule = rules.Rule((a("placedBy", "?x", "?c"), a("quantity", "?x", "?q")), a("Discounted", "?c"), builtins.data_range("?q", low=0) + " and q + 1 > 90")
+    return rules.bindings(rule, [placed, amount]).select(label("c").alias("ind"), F.lit("Discounted").alias("cls")).distinct()
+
+
+@query(f"{_EL} SELECT sub, sup FROM subs WHERE sub NOT IN (SELECT cls FROM bad) UNION SELECT cls, 'owl:Nothing' FROM bad")
+def incremental_el(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completion that goes on from the facts of the role and class hierarchy when the existentials arrive."""
+    full = el_axioms(spark, sf_dir)
+    first = el.ELAxioms(spark, nf1=full.nf1, nf6=full.nf6)
+    symbols = full.symbols()
+    return el.readout(el.complete(full, symbols, known=written(el.complete(first))), symbols)

@@ -89,29 +89,3 @@ def class_names(axioms: DataFrame) -> DataFrame:
     """(name, kind) of declarations."""
     inner = F.regexp_extract_all(F.col("args")[0], F.lit(r"^(\w+)\((.*)\)$"), 1)
     return axioms.where("head = 'Declaration'").select(F.regexp_extract(F.col("args")[0], r"\((.*)\)$", 1).alias("name"), F.get(inner, 0).alias("kind"))
-
-
-def normal_forms(axioms: DataFrame) -> dict[str, DataFrame]:
-    """Tables of the EL normal forms for axioms whose classes are names, one existential or one binary intersection deep; `rest` has the others."""
-    a, b = F.col("args")[0], F.col("args")[1]
-    some, name = r"^ObjectSomeValuesFrom\(([^()\s]+) ([^()\s]+)\)$", r"^[^()\s]+$"
-    both = r"^ObjectIntersectionOf\(([^()\s]+) ([^()\s]+)\)$"
-    sub = axioms.where("head = 'SubClassOf'")
-    g = F.regexp_extract
-    out = {
-        "nf1": sub.where(a.rlike(name) & b.rlike(name) & (b != "owl:Nothing")).select(a.alias("sub"), b.alias("sup")),
-        "nf2": sub.where(a.rlike(both) & b.rlike(name)).select(g(a, both, 1).alias("left"), g(a, both, 2).alias("right"), b.alias("sup")),
-        "nf3": sub.where(a.rlike(name) & b.rlike(some)).select(a.alias("sub"), g(b, some, 1).alias("role"), g(b, some, 2).alias("filler")),
-        "nf4": sub.where(a.rlike(some) & b.rlike(name)).select(g(a, some, 1).alias("role"), g(a, some, 2).alias("filler"), b.alias("sup")),
-        "nf5": sub.where(a.rlike(name) & (b == "owl:Nothing")).select(a.alias("sub")),
-        "nf6": axioms.where((F.col("head") == "SubObjectPropertyOf") & a.rlike(name)).select(a.alias("sub"), b.alias("sup")),
-    }
-    chain = r"^ObjectPropertyChain\(([^()\s]+) ([^()\s]+)\)$"
-    link = axioms.where((F.col("head") == "SubObjectPropertyOf") & a.rlike(chain)).select(g(a, chain, 1).alias("first"), g(a, chain, 2).alias("second"), b.alias("sup"))
-    out["nf7"] = link.unionByName(axioms.where("head = 'TransitiveObjectProperty'").select(a.alias("first"), a.alias("second"), a.alias("sup")))
-    out["nf4"] = out["nf4"].unionByName(axioms.where((F.col("head") == "ObjectPropertyDomain") & b.rlike(name)).select(a.alias("role"), F.lit("owl:Thing").alias("filler"), b.alias("sup")))
-    out["nf2"] = out["nf2"].unionByName(axioms.where((F.col("head") == "DisjointClasses") & (F.size("args") == 2)).select(a.alias("left"), b.alias("right"), F.lit("owl:Nothing").alias("sup")))
-    known = ["SubClassOf", "SubObjectPropertyOf", "TransitiveObjectProperty", "ObjectPropertyDomain", "DisjointClasses", "Declaration", "Prefix", "AnnotationAssertion"]
-    covered = sub.where((a.rlike(name) & (b.rlike(name) | b.rlike(some))) | ((a.rlike(both) | a.rlike(some)) & b.rlike(name)))
-    out["rest"] = axioms.where(~F.col("head").isin(known)).unionByName(sub.join(covered.select("ontology", "ordinal"), ["ontology", "ordinal"], "left_anti").select(*axioms.columns))
-    return out

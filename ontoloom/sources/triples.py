@@ -1,4 +1,4 @@
-"""N-Triples lines and small Turtle documents to triples, and triples to axiom rows by joins.
+"""N-Triples lines, small Turtle and RDF/XML documents to triples, and triples to axiom rows by joins.
 
 Every triple must be used by some axiom or declaration; what is left over is returned, and a reader that must be
 strict refuses it.
@@ -7,7 +7,9 @@ strict refuses it.
 from __future__ import annotations
 
 import re
+import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +98,90 @@ def turtle_triples(text: str) -> list[tuple[str, str, str]]:
     return out
 
 
+def rdfxml_triples(text: str) -> list[tuple[str, str, str]]:
+    """Triples of an RDF/XML document: node and property elements, typed nodes, property attributes, languages, collections, nested nodes."""
+    out: list[tuple[str, str, str]] = []
+    root, blank = ET.fromstring(text), 0
+    rdf, xml = f"{{{RDF}}}", "{http://www.w3.org/XML/1998/namespace}"
+    iri = lambda tag: f"<{tag[1:].replace('}', '')}>"
+
+    def against(base: str, ref: str) -> str:
+        return f"<{urljoin(base, ref) if not ref.startswith('#') else base.partition('#')[0] + ref}>"
+
+    def fresh() -> str:
+        nonlocal blank
+        blank += 1
+        return f"_:x{blank}"
+
+    def literal(value: str, lang: str | None, kind: str | None) -> str:
+        quoted = '"' + value.replace("\\", "\\\\").replace('"', '\\"') + '"'
+        return f"{quoted}^^<{kind}>" if kind else f"{quoted}@{lang}" if lang else quoted
+
+    def attributes(subject: str, element: ET.Element, lang: str | None) -> None:
+        for key, value in element.attrib.items():
+            if key.startswith("{") and not key.startswith((rdf, xml)):
+                out.append((subject, iri(key), literal(value, lang, None)))
+            elif key == f"{rdf}type":
+                out.append((subject, f"<{RDF}type>", f"<{value}>"))
+
+    def node(element: ET.Element, base: str, lang: str | None) -> str:
+        base, lang = element.get(f"{xml}base", base), element.get(f"{xml}lang", lang)
+        about, name, id_ = (element.get(f"{rdf}{x}") for x in ("about", "nodeID", "ID"))
+        me = against(base, about) if about is not None else f"_:{name}" if name else against(base, f"#{id_}") if id_ else fresh()
+        if element.tag != f"{rdf}Description":
+            out.append((me, f"<{RDF}type>", iri(element.tag)))
+        attributes(me, element, lang)
+        counter = 0
+        for child in element:
+            predicate, inner = iri(child.tag), child.get(f"{xml}lang", lang)
+            if child.tag == f"{rdf}li":
+                counter += 1
+                predicate = f"<{RDF}_{counter}>"
+            kind = child.get(f"{rdf}parseType")
+            if kind == "Collection":
+                rest, items = f"<{RDF}nil>", [node(x, base, inner) for x in child]
+                for item in reversed(items):
+                    cell = fresh()
+                    out.extend([(cell, f"<{RDF}first>", item), (cell, f"<{RDF}rest>", rest)])
+                    rest = cell
+                out.append((me, predicate, rest))
+            elif kind == "Literal":
+                inside = (child.text or "") + "".join(ET.tostring(x, encoding="unicode") for x in child)
+                out.append((me, predicate, literal(inside, None, f"{RDF}XMLLiteral")))
+            elif kind == "Resource":
+                me2 = fresh()
+                out.append((me, predicate, me2))
+                holder = ET.Element(f"{rdf}Description", {f"{rdf}nodeID": me2[2:]})
+                holder.extend(list(child))
+                node(holder, base, inner)
+            elif child.get(f"{rdf}resource") is not None or child.get(f"{rdf}nodeID"):
+                target = child.get(f"{rdf}resource")
+                target = against(base, target) if target is not None else f"_:{child.get(f'{rdf}nodeID')}"
+                out.append((me, predicate, target))
+                attributes(target, child, inner)
+            elif len(child):
+                for x in child:
+                    out.append((me, predicate, node(x, base, inner)))
+            else:
+                out.append((me, predicate, literal(child.text or "", inner if not child.get(f"{rdf}datatype") else None, child.get(f"{rdf}datatype"))))
+        return me
+
+    base, lang = root.get(f"{xml}base", ""), root.get(f"{xml}lang")
+    for element in root if root.tag == f"{rdf}RDF" else [root]:
+        node(element, base, lang)
+    return out
+
+
+def rdfxml_rows(files: DataFrame) -> DataFrame:
+    """Triples of RDF/XML documents (ontology, value); a document is one row of work, documents are dealt over tasks."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(o, *t) for o, text in zip(pdf.ontology, pdf["value"]) for t in rdfxml_triples(text)], columns=["ontology", "s", "p", "o"])
+
+    return files.mapInPandas(parse, TRIPLE)
+
+
 def parse_rows(files: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
