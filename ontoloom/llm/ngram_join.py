@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import fresh, release, small_batches, written
+from .common import discard, fresh, release, small_batches, written
 from .components import components
 from .suffix_dedup import ASKED, block_answers, block_requests, blocks, doc_ids, flags
 
@@ -246,7 +246,9 @@ def whole_sets(docs: DataFrame, known: DataFrame, ids: DataFrame, rule: Rule) ->
     hashes = [F.coalesce(F.xxhash64("doc_id", F.lit(i)), F.lit(0)).alias(f"p{i}") for i in range(3)]
     with small_batches(spark, ROWS_OF_SETS):
         found = docs.select(*hashes, "text").mapInPandas(whole, "id long, s binary")
-        return written(found.join(ids.select("id"), "id", "left_semi").groupBy("id").agg(F.first("s").alias("s")))
+        out = written(found.join(ids.select("id"), "id", "left_semi").groupBy("id").agg(F.first("s").alias("s")))
+    discard(ids)
+    return out
 
 
 def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -265,7 +267,11 @@ def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, rule: Rule) ->
 
     with_sets = pairs.join(found.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(found.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
     with small_batches(docs.sparkSession, ROWS_OF_SETS):
-        return written(with_sets.where(links("s_a", "s_b")).select("a", "b"))
+        out = written(with_sets.where(links("s_a", "s_b")).select("a", "b"))
+    discard(found)
+    discard(pairs)
+    release(docs.sparkSession)
+    return out
 
 
 class RTree:
