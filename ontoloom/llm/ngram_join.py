@@ -16,7 +16,7 @@ point bound is too small are dropped, the rest verified on the whole sets, and t
 taken: a group of near copies becomes one. 2. Cells that still hold several components are
 searched in full: an R-tree over the members' points finds, for every member outside the cell's most frequent component, those of other
 components whose bound reaches the threshold; these pairs, and those of cells with two members only, are verified as well unless step 1 did.
-Cells larger than a block are routed once more by a second hash, within the cell; what is still larger is searched block by
+The sets of cells larger than a block are routed once more by a second hash; what is still larger is searched block by
 block. Since pairs inside a component add nothing, no link between components is lost.
 
 Equal sets are one set (named by a 64-bit fingerprint of its shingles) throughout. Which texts to fetch for
@@ -113,11 +113,10 @@ def cells(s: np.ndarray, rule: Rule = RULE) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def cells_within(cell: int, s: np.ndarray, rule: Rule) -> np.ndarray:
-    """Names of the cells of a second routing inside a crowded cell: the same set under another hash, so that what
-    brought many sets together by chance or by one common shingle parts them again. Linked sets meet here as well."""
-    other = np.sort(hashing.mix(s ^ hashing.U(0xA0761D6478BD642F)))
-    return hashing.mix(cells(other, rule) * hashing.U(0xE7037ED1A0B428DB) + np.array([cell], np.int64).view(np.uint64))
+def second_cells(s: np.ndarray, rule: Rule) -> np.ndarray:
+    """Names of the cells of a second routing: the same set under another hash, so that what brought many sets
+    together by chance or by one common shingle parts them again. Linked sets meet here as well."""
+    return cells(np.sort(hashing.mix(s ^ hashing.U(0xA0761D6478BD642F))), rule)
 
 
 def points(s: np.ndarray) -> bytes:
@@ -311,7 +310,7 @@ def _search(asked: pd.DataFrame, held: pd.DataFrame, rule: Rule) -> pd.DataFrame
 
 def unresolved(docs: DataFrame, members: DataFrame, roots: DataFrame, known: DataFrame, rule: Rule, level: int = 0) -> DataFrame:
     """Pairs of different components that an R-tree search of their common cells leaves open; a cell of two members is such a pair
-    itself. A crowded cell is first routed once more within itself. Of two components in a cell one at least is not the cell's most
+    itself. The sets of crowded cells are first routed once more, among themselves. Of two components in a cell one at least is not the cell's most
     frequent, so only members of the others ask; they ask every block of the cell."""
     rows = rooted(members.select("cell", "id"), roots)
     by_root = rows.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"), F.min("id").alias("a"), F.max("id").alias("b"))
@@ -324,7 +323,7 @@ def unresolved(docs: DataFrame, members: DataFrame, roots: DataFrame, known: Dat
     once = written(mixed.where("size > 2").groupBy("who", "size").agg(F.min(F.struct("cell", "most")).alias("c")).select("c.cell", "c.most", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     finer = None
     if not level and not once.where("blocks > 1").isEmpty():
-        crowded = written(rows.join(once.where("blocks > 1"), "cell").select("cell", "id"))
+        crowded = written(rows.join(once.where("blocks > 1"), "cell").select("id").distinct())
         finer = unresolved(docs, written(within(docs, known, crowded, rule)), roots, known, rule, level + 1)
         once = once.where("blocks = 1")
     data = rows.join(once, "cell").join(known.select("id", "n", "point"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -362,15 +361,15 @@ def second_tries(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def within(docs: DataFrame, known: DataFrame, crowded: DataFrame, rule: Rule) -> DataFrame:
-    """(cell, id) of the second routing of crowded cells' members."""
+    """(cell, id) of the second routing of the sets (id) that crowded cells hold, each routed once however many hold it."""
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [cells_within(c, np.frombuffer(s, np.uint64), rule) for c, s in zip(pdf.cell, pdf.s)]
+            got = [second_cells(np.frombuffer(s, np.uint64), rule) for s in pdf.s]
             yield pd.DataFrame({"cell": np.concatenate(got).astype(np.int64) if got else [], "id": np.repeat(pdf.id.to_numpy(np.int64), [len(g) for g in got])})
 
     with small_batches(docs.sparkSession, ROWS_OF_SETS):
-        rows = written(crowded.join(whole_sets(docs, known, crowded, rule), "id").select("cell", "id", "s").mapInPandas(route, "cell long, id long").distinct())
+        rows = written(whole_sets(docs, known, crowded, rule).mapInPandas(route, "cell long, id long").distinct())
     shared = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return rows.join(shared.select("cell"), "cell", "left_semi")
 

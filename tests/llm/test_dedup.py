@@ -94,7 +94,9 @@ def test_ngram_join(name, request):
     assert Counter(tuple(r) for r in ngram_join.ngram_join(docs).collect()) == brute_components(rows)
 
 
-def test_ngram_join_of_a_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("block", [ngram_join.BLOCK, 20])
+def test_ngram_join_of_a_large_group_of_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)  # small blocks make cells crowded, so that sets are routed twice
     rng, rows = random.Random(3), []
     base = [f"b{i}" for i in range(200)]
     for d in range(300):
