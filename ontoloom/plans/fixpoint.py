@@ -48,16 +48,19 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most else kept
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int | None = None) -> DataFrame:
     """Semi-naive least fixpoint. `step(delta, known)` derives rows from at least one row of delta; rows of `known`
     (delta included) are dropped, the rest is the next delta. Every round is written, so a lost executor costs one round.
 
     What a round derives is looked up in `known` from its own side: a small delta is broadcast and `known` scanned in place, so the
-    shuffle of a round follows the delta. Facts over a finite set of names end by themselves; there is no cap."""
+    shuffle of a round follows the delta. Facts over a finite set of names end by themselves, so no operator sets `max_rounds`; a caller
+    whose step makes new values may, and gets no answer beyond it."""
     columns = seed.columns
     delta, n = counted(seed.distinct())
     known, rounds = delta, 1
     while n:
+        if max_rounds is not None and rounds > max_rounds:
+            raise Deferred(f"no fixpoint after {max_rounds} rounds")
         new, n = counted(step(delta, known).select(*columns).distinct())
         if n:
             old = known.join(new, columns, "left_semi")
