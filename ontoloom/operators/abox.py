@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import closure, components, fixpoint, written
+from ..plans.fixpoint import closure, components, fixpoint, small, written
 
 
 def all_types(class_facts: DataFrame, told: DataFrame, extra: DataFrame | None = None) -> DataFrame:
@@ -26,6 +26,7 @@ def direct_types(types: DataFrame, told: DataFrame) -> DataFrame:
 def materialize(class_facts: DataFrame, role_facts: DataFrame, told: DataFrame, conj: DataFrame, some: DataFrame, domain: DataFrame, range_: DataFrame) -> DataFrame:
     """(ind, cls): types under told classes, conjunctions (left, right, sup), some (role, filler, sup), domains and ranges."""
     roles = written(role_facts)
+    told, conj, some, domain, range_ = map(small, (told, conj, some, domain, range_))
     seed = class_facts.select("ind", "cls")
     for facts, at in ((domain, "src"), (range_, "dst")):
         seed = seed.unionByName(roles.join(facts, "role").select(F.col(at).alias("ind"), "cls"))
@@ -53,6 +54,8 @@ def same_functional(role_facts: DataFrame, functional: DataFrame, inverse_functi
     """(node, rep) of individuals that functional and inverse-functional roles make equal. Merging changes the facts,
     so they are rewritten to representatives until nothing merges."""
     facts = written(role_facts.select("role", "src", "dst"))
+    functional = small(functional.select("role").distinct())
+    inverse_functional = None if inverse_functional is None else small(inverse_functional.select("role").distinct())
     merged = None
     while True:
         ties = _to_first(facts.join(functional, "role", "left_semi"), ["role", "src"], "dst")
@@ -90,7 +93,7 @@ def same_by_key(rows: DataFrame, node: str, keys: list[str]) -> DataFrame:
 
 def disjoint_clash(types: DataFrame, disjoint: DataFrame) -> DataFrame:
     """(ind, a, b): individuals with both classes of a disjoint pair."""
-    left = types.join(disjoint, F.col("cls") == F.col("a")).select("ind", "a", "b")
+    left = types.join(small(disjoint), F.col("cls") == F.col("a")).select("ind", "a", "b")
     return left.join(types.select(F.col("ind").alias("i"), F.col("cls").alias("c")), (F.col("ind") == F.col("i")) & (F.col("b") == F.col("c"))).select("ind", "a", "b").distinct()
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import small
 from . import abox
 
 
@@ -15,12 +16,12 @@ def merged(facts: DataFrame, same: DataFrame | None) -> DataFrame:
 
 def irreflexive(facts: DataFrame, roles: DataFrame, same: DataFrame | None = None) -> DataFrame:
     """(role, src): irreflexive roles (role) from an individual to itself or to one that equals it."""
-    return merged(facts, same).where("src = dst").join(roles, "role", "left_semi").select("role", "src").distinct()
+    return merged(facts, same).where("src = dst").join(small(roles), "role", "left_semi").select("role", "src").distinct()
 
 
 def asymmetric(facts: DataFrame, roles: DataFrame, same: DataFrame | None = None) -> DataFrame:
     """(role, src, dst): links of asymmetric roles that also run back, each pair once."""
-    rows = merged(facts, same).join(roles, "role", "left_semi").distinct()
+    rows = merged(facts, same).join(small(roles), "role", "left_semi").distinct()
     back = rows.select("role", F.col("dst").alias("src"), F.col("src").alias("dst"))
     return rows.join(back, ["role", "src", "dst"], "left_semi").where("src <= dst")
 
@@ -28,25 +29,25 @@ def asymmetric(facts: DataFrame, roles: DataFrame, same: DataFrame | None = None
 def disjoint_roles(facts: DataFrame, pairs: DataFrame, same: DataFrame | None = None) -> DataFrame:
     """(a, b, src, dst): individuals linked by both roles of a disjoint pair (a, b)."""
     rows = merged(facts, same)
-    left = rows.join(pairs, F.col("role") == F.col("a")).select("a", "b", "src", "dst")
+    left = rows.join(small(pairs), F.col("role") == F.col("a")).select("a", "b", "src", "dst")
     right = rows.select(F.col("role").alias("b"), "src", "dst")
     return left.join(right, ["b", "src", "dst"], "left_semi").select("a", "b", "src", "dst").distinct()
 
 
 def self_members(facts: DataFrame, restrictions: DataFrame, same: DataFrame | None = None) -> DataFrame:
     """(ind, cls): individuals with a role to themselves, for restrictions (role, cls)."""
-    return merged(facts, same).where("src = dst").join(restrictions, "role").select(F.col("src").alias("ind"), "cls").distinct()
+    return merged(facts, same).where("src = dst").join(small(restrictions), "role").select(F.col("src").alias("ind"), "cls").distinct()
 
 
 def self_links(types: DataFrame, restrictions: DataFrame) -> DataFrame:
     """(role, src, dst): members of a self restriction's class have the role to themselves."""
-    return types.join(restrictions, "cls").select("role", F.col("ind").alias("src"), F.col("ind").alias("dst")).distinct()
+    return types.join(small(restrictions), "cls").select("role", F.col("ind").alias("src"), F.col("ind").alias("dst")).distinct()
 
 
 def too_many(facts: DataFrame, limits: DataFrame, groups: DataFrame, same: DataFrame | None = None, types: DataFrame | None = None) -> DataFrame:
     """(role, src, n): more successors than `limits` (role, most[, cls]) allow, counted within one group (grp, ind) of individuals that are all
     different. A filler class counts only its members in `types` (ind, cls)."""
-    rows = merged(facts, same).distinct().join(limits, "role")
+    rows = merged(facts, same).distinct().join(small(limits), "role")
     if types is not None:
         rows = rows.join(types.select(F.col("ind").alias("dst"), "cls").distinct(), ["dst", "cls"], "left_semi")
     counted = rows.join(groups.select("grp", F.col("ind").alias("dst")).distinct(), "dst").groupBy("role", "src", "most", "grp").agg(F.count_distinct("dst").alias("n"))
@@ -55,7 +56,7 @@ def too_many(facts: DataFrame, limits: DataFrame, groups: DataFrame, same: DataF
 
 def functional(facts: DataFrame, roles: DataFrame, different: DataFrame) -> DataFrame:
     """(role, src): functional roles with two successors that are asserted different (a, b)."""
-    rows = facts.join(roles, "role", "left_semi").select("role", "src", "dst")
+    rows = facts.join(small(roles), "role", "left_semi").select("role", "src", "dst")
     two = rows.join(different, F.col("dst") == F.col("a")).select("role", "src", F.col("b").alias("dst"))
     return two.join(rows, ["role", "src", "dst"], "left_semi").select("role", "src").distinct()
 

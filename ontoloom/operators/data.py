@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import written
+from ..plans.fixpoint import small, written
 
 
 def facet_members(facts: DataFrame, ranges: DataFrame) -> DataFrame:
     """(ind, range_name): facts (ind, value) in half-open intervals (range_name, low, high). The few ranges are joined by a condition."""
-    return facts.join(ranges, (F.col("value") >= F.col("low")) & (F.col("value") < F.col("high"))).select("ind", "range_name").distinct()
+    return facts.join(small(ranges), (F.col("value") >= F.col("low")) & (F.col("value") < F.col("high"))).select("ind", "range_name").distinct()
 
 
 def binned_members(facts: DataFrame, ranges: DataFrame, width: float) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import closure, fixpoint
+from ..plans.fixpoint import closure, fixpoint, small
 
 
 def flip(role: Column) -> Column:
@@ -50,7 +50,9 @@ def role_facts(facts: DataFrame, subrole: DataFrame, inverse: DataFrame, symmetr
     flat = flat.unionByName(inverse.select(F.col("role").alias("sub"), F.col("inverse").alias("sup"), F.lit(True).alias("turn")))
     flat = flat.unionByName(inverse.select(F.col("inverse").alias("sub"), F.col("role").alias("sup"), F.lit(True).alias("turn")))
     flat = flat.unionByName(symmetric.select(F.col("role").alias("sub"), F.col("role").alias("sup"), F.lit(True).alias("turn")))
-    two = chains.select("first", "second", "sup").unionByName(transitive.select(F.col("role").alias("first"), F.col("role").alias("second"), F.col("role").alias("sup")))
+    flat = small(flat)
+    two = small(chains.select("first", "second", "sup").unionByName(transitive.select(F.col("role").alias("first"), F.col("role").alias("second"), F.col("role").alias("sup"))))
+    seconds = small(two.select("second").distinct())
 
     def step(delta: DataFrame, known: DataFrame) -> DataFrame:
         one = delta.join(flat, delta.role == flat.sub).select(
@@ -59,7 +61,7 @@ def role_facts(facts: DataFrame, subrole: DataFrame, inverse: DataFrame, symmetr
         out = one
         for a, b in ((delta, known), (known, delta)):
             start = a.join(two, F.col("role") == F.col("first")).select(F.col("src"), F.col("dst").alias("mid"), "second", "sup")
-            end = b.select(F.col("src").alias("mid"), F.col("role").alias("second"), "dst").join(two.select("second").distinct(), "second", "left_semi")
+            end = b.select(F.col("src").alias("mid"), F.col("role").alias("second"), "dst").join(seconds, "second", "left_semi")
             out = out.unionByName(start.join(end, ["mid", "second"]).select(F.col("sup").alias("role"), "src", "dst"))
         return out
 
@@ -68,12 +70,13 @@ def role_facts(facts: DataFrame, subrole: DataFrame, inverse: DataFrame, symmetr
 
 def domain_range(facts: DataFrame, domain: DataFrame, range_: DataFrame) -> DataFrame:
     """(ind, cls) that domains and ranges give."""
-    d = facts.join(domain, "role").select(F.col("src").alias("ind"), "cls")
-    return d.unionByName(facts.join(range_, "role").select(F.col("dst").alias("ind"), "cls")).distinct()
+    d = facts.join(small(domain), "role").select(F.col("src").alias("ind"), "cls")
+    return d.unionByName(facts.join(small(range_), "role").select(F.col("dst").alias("ind"), "cls")).distinct()
 
 
 def path_automaton(facts: DataFrame, transitions: DataFrame, start: str, accept: list[str]) -> DataFrame:
     """(src, dst) pairs joined by a role path that a nondeterministic automaton (from_state, role, to_state) accepts."""
+    transitions = small(transitions)
     first = transitions.where(F.col("from_state") == start).join(facts, "role").select("src", "dst", F.col("to_state").alias("state"))
     moves = facts.join(transitions, "role").select(F.col("src").alias("mid"), "from_state", F.col("dst").alias("next"), "to_state")
 

@@ -43,9 +43,10 @@ def counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """An axiom table, written; broadcast if it has at most `most` rows, else left to Spark's own joins."""
-    kept = written(df)
-    return F.broadcast(kept) if kept.count() <= most else kept
+    """An axiom table, written; broadcast if it has at most `most` rows, else left to Spark's own joins. Facts that meet it by role or class
+    must not be shuffled by that: all facts of one role would be one task's, as Spark takes a table without statistics for a large one."""
+    kept, n = counted(df)
+    return F.broadcast(kept) if n <= most else kept
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int | None = None) -> DataFrame:
