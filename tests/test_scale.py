@@ -2,7 +2,7 @@
 
 import pytest
 
-from ontoloom.operators import abox, clashes, rbox
+from ontoloom.operators import abox, clashes, el, rbox
 
 
 def plan(df):
@@ -48,3 +48,31 @@ def test_rounds_do_not_shuffle_facts_by_role(t, facts, monkeypatch):
     # what is left to sort are joins by individual: one of a path, two of a chain, two of a conjunction and one of an existential
     assert all(plan(r).count("SortMergeJoin") <= most for r, most in zip(rounds, (1, 2, 3)))
     assert not any("CartesianProduct" in plan(r) for r in rounds)
+
+
+def test_completion_starts_from_told_facts_and_leaves_out_what_holds_of_every_class(t, spark, monkeypatch):
+    seeds = []
+    real = el.fixpoint
+    monkeypatch.setattr(el, "fixpoint", lambda seed, step: seeds.append(seed) or real(seed, step))
+    axioms = el.ELAxioms(
+        spark, nf1=t("sub string, sup string", ("a", "b"), ("b", "c"), ("x1", "a"), ("x2", "a"), ("x3", "a")), nf3=t("sub string, role string, filler string", ("x1", "r", "x2")),
+        nf4=t("role string, filler string, sup string", ("r", "c", "d"), ("r", "x2", "e")),
+    )
+    symbols = axioms.symbols()
+    got = {tuple(r) for r in el.readout(el.complete(axioms, symbols), symbols).collect()}
+    up = {("a", "b"), ("a", "c"), ("b", "c")} | {(x, y) for x in ("x1", "x2", "x3") for y in "abc"}
+    assert got == up | {("x1", "d"), ("x1", "e")}
+    assert seeds[0].distinct().count() == 5 + 1 + 2 + 1  # told, the edge, what existentials ask for, top
+    facts = el.complete(axioms, symbols)
+    assert facts.count() == facts.distinct().count() == len(got) + 1 + 2 * symbols.count() - 1
+
+
+def test_labels_of_components_are_never_broadcast(t, monkeypatch):
+    from ontoloom.plans import fixpoint
+
+    plans = []
+    real = fixpoint.written
+    monkeypatch.setattr(fixpoint, "written", lambda df, *by: plans.append(plan(df)) or real(df, *by))
+    got = fixpoint.components(t("a long, b long", (1, 2), (2, 3), (5, 4)))
+    assert {tuple(r) for r in got.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+    assert not any("BroadcastHashJoin" in p for p in plans)
