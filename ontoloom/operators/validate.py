@@ -62,14 +62,21 @@ def not_a_forest(edges: DataFrame) -> DataFrame:
     loops = und.where("a = b").select("a", "b", F.lit("loop").alias("why")).distinct()
     parallel = und.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", F.lit("parallel").alias("why"))
     plain = written(und.where("a <> b").distinct())
+    moved = lambda df: df.hint("merge")  # noqa: E731  # grows with the nodes: never sent to the driver
+
+    def trimmed(core: DataFrame) -> DataFrame:
+        ends = core.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("x")
+        return written(core.join(moved(ends.withColumnRenamed("x", "a")), "a", "left_semi").join(moved(ends.withColumnRenamed("x", "b")), "b", "left_semi").select("a", "b"))
+
+    # leaves go first, as they are the most; components then end what would be trimmed link by link
+    plain = trimmed(plain)
     comp = written(components(plain))
     nodes = comp.groupBy("rep").agg(F.count(F.lit(1)).alias("nodes"))
-    links = plain.join(comp, F.col("a") == F.col("node")).select("a", "b", "rep")
-    cyclic = nodes.join(links.groupBy("rep").agg(F.count(F.lit(1)).alias("links")), "rep").where("links >= nodes").select("rep")
-    core, n = written(links.join(cyclic, "rep", "left_semi").select("a", "b")), -1
+    links = plain.join(moved(comp), F.col("a") == F.col("node")).select("a", "b", "rep")
+    cyclic = nodes.join(moved(links.groupBy("rep").agg(F.count(F.lit(1)).alias("links"))), "rep").where("links >= nodes").select("rep")
+    core, n = written(links.join(moved(cyclic), "rep", "left_semi").select("a", "b")), -1
     while n != (n := core.count()):
-        ends = core.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("x")
-        core = written(core.join(ends.withColumnRenamed("x", "a"), "a", "left_semi").join(ends.withColumnRenamed("x", "b"), "b", "left_semi").select("a", "b"))
+        core = trimmed(core)
     return loops.unionByName(parallel).unionByName(core.withColumn("why", F.lit("cycle")))
 
 

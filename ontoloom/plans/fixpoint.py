@@ -58,15 +58,16 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
     whose step makes new values may, and gets no answer beyond it."""
     columns = seed.columns
     delta, n = counted(seed.distinct())
-    known, rounds = delta, 1
+    known, rounds, total = delta, 1, n
     while n:
         if max_rounds is not None and rounds > max_rounds:
             raise Deferred(f"no fixpoint after {max_rounds} rounds")
         new, n = counted(step(delta, known).select(*columns).distinct())
         if n:
-            old = known.join(new, columns, "left_semi")
+            # of a round as large as what is known, both sides move once; of a small one only it moves
+            old = known if 4 * n > total else known.join(new, columns, "left_semi")
             delta, n = counted(new.join(old, columns, "left_anti"))
-            known, rounds = known.unionByName(delta), rounds + 1
+            known, rounds, total = known.unionByName(delta), rounds + 1, total + n
             if rounds % 8 == 0:  # many small files become few
                 known = written(known)
     return known
@@ -86,14 +87,16 @@ def closure(edges: DataFrame, src: str, dst: str) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, rep): the smallest node of each connected component, by minimum label and pointer jumping."""
+    """(node, rep): the smallest node of each connected component, by minimum label and pointer jumping. Labels grow with the nodes, so
+    they are joined by sorting and none is sent to the driver, however well its file compresses."""
+    moved = lambda df: df.hint("merge")
     both = written(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
     label = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("rep")).withColumnRenamed("x", "node"))
     while True:
-        near = both.join(label.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("rep").alias("near"))
-        best = label.join(near.withColumnRenamed("x", "node"), "node").select("node", F.col("rep").alias("old"), F.least("rep", "near").alias("mid"))
+        near = both.join(moved(label.withColumnRenamed("node", "y")), "y").groupBy("x").agg(F.min("rep").alias("near"))
+        best = label.join(moved(near.withColumnRenamed("x", "node")), "node").select("node", F.col("rep").alias("old"), F.least("rep", "near").alias("mid"))
         jump = label.select(F.col("node").alias("mid"), F.col("rep").alias("far"))
-        new = written(best.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("rep")))
+        new = written(best.join(moved(jump), "mid").select("node", "old", F.least("mid", "far").alias("rep")))
         changed = new.where("rep <> old").isEmpty()
         label = new.select("node", "rep")
         if changed:
