@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"""\s+|\#[^\n]*|(<[^>\s]*>|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^(?:<[^>\s]*>|[^\s()"]+))?|\(|\)|=|[^\s()<>"=\#]+|[<>])""")
+BATCH = 10_000  # axioms sent at a time
 AXIOM = "ontology string, ordinal long, head string, args array<string>"
 
 
 def axioms_of(text: str) -> list[tuple[str, list[str]]]:
     """(head, args) of the axioms and prefixes of one document; nested expressions stay text with single spaces."""
-    out, stack, head = [], [], None
+    return list(each_axiom(text))
+
+
+def each_axiom(text: str) -> Iterator[tuple[str, list[str]]]:
+    """`axioms_of`, one after the other: nothing of a document is held but its text and the axiom that is open."""
+    stack, head = [], None
     for m in _TOKEN.finditer(text):
         tok = m[1]
         if tok is None:
@@ -31,7 +38,7 @@ def axioms_of(text: str) -> list[tuple[str, list[str]]]:
             name, args = done[0], done[1:]
             outer = [s[0] for s in stack]
             if outer in ([], ["Ontology"]) and name != "Ontology":
-                out.append((name, args))
+                yield name, args
             elif stack:
                 stack[-1].append(f"{name}({' '.join(args)})")
         else:
@@ -43,7 +50,6 @@ def axioms_of(text: str) -> list[tuple[str, list[str]]]:
             head = tok
     if stack:
         raise ValueError("unbalanced parentheses")
-    return out
 
 
 def read_ofn(spark: SparkSession, path: str) -> DataFrame:
@@ -55,8 +61,9 @@ def read_ofn(spark: SparkSession, path: str) -> DataFrame:
 def parse_rows(files: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(o, i, h, a) for o, text in zip(pdf.ontology, pdf["value"]) for i, (h, a) in enumerate(axioms_of(text or ""))]
-            yield pd.DataFrame(rows, columns=["ontology", "ordinal", "head", "args"])
+            rows = ((o, i, h, a) for o, text in zip(pdf.ontology, pdf["value"]) for i, (h, a) in enumerate(each_axiom(text or "")))
+            while some := list(islice(rows, BATCH)):
+                yield pd.DataFrame(some, columns=["ontology", "ordinal", "head", "args"])
 
     return files.mapInPandas(parse, AXIOM)
 

@@ -3,6 +3,7 @@
 import pytest
 
 from ontoloom.operators import abox, clashes, el, rbox
+from ontoloom.sources import ofn
 
 
 def plan(df):
@@ -76,3 +77,11 @@ def test_labels_of_components_are_never_broadcast(t, monkeypatch):
     got = fixpoint.components(t("a long, b long", (1, 2), (2, 3), (5, 4)))
     assert {tuple(r) for r in got.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
     assert not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_axioms_of_a_document_are_sent_as_they_are_read():
+    text = "Ontology(<http://e/o> " + "SubClassOf(:A ObjectSomeValuesFrom(:r :B)) " * 3 + "SubClassOf(:A :B"
+    rows = ofn.each_axiom(text)
+    assert [next(rows) for _ in range(3)] == [("SubClassOf", [":A", "ObjectSomeValuesFrom(:r :B)"])] * 3
+    with pytest.raises(ValueError, match="unbalanced"):
+        next(rows)
