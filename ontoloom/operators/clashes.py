@@ -47,10 +47,12 @@ def self_links(types: DataFrame, restrictions: DataFrame) -> DataFrame:
 def too_many(facts: DataFrame, limits: DataFrame, groups: DataFrame, same: DataFrame | None = None, types: DataFrame | None = None) -> DataFrame:
     """(role, src, n): more successors than `limits` (role, most[, cls]) allow, counted within one group (grp, ind) of individuals that are all
     different. A filler class counts only its members in `types` (ind, cls)."""
-    rows = merged(facts, same).distinct().join(small(limits), "role")
+    rows = merged(facts, same).distinct().join(small((limits.select("role", "most") if types is None else limits).distinct()), "role")
     if types is not None:
         rows = rows.join(types.select(F.col("ind").alias("dst"), "cls").distinct(), ["dst", "cls"], "left_semi")
-    counted = rows.join(groups.select("grp", F.col("ind").alias("dst")).distinct(), "dst").groupBy("role", "src", "most", "grp").agg(F.count_distinct("dst").alias("n"))
+    # without filler classes rows are distinct already, so nothing is told apart a second time
+    n = F.count(F.lit(1)) if types is None else F.count_distinct("dst")
+    counted = rows.join(groups.select("grp", F.col("ind").alias("dst")).distinct(), "dst").groupBy("role", "src", "most", "grp").agg(n.alias("n"))
     return counted.where("n > most").groupBy("role", "src").agg(F.max("n").alias("n"))
 
 
