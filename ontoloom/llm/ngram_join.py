@@ -308,7 +308,7 @@ def _search(asked: pd.DataFrame, held: pd.DataFrame, rule: Rule) -> pd.DataFrame
     return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
 
-def unresolved(docs: DataFrame, members: DataFrame, roots: DataFrame, known: DataFrame, rule: Rule, level: int = 0) -> DataFrame:
+def unresolved(members: DataFrame, roots: DataFrame, known: DataFrame, rule: Rule, docs: DataFrame | None = None, level: int = 0) -> DataFrame:
     """Pairs of different components that an R-tree search of their common cells leaves open; a cell of two members is such a pair
     itself. The sets of crowded cells are first routed once more, among themselves. Of two components in a cell one at least is not the cell's most
     frequent, so only members of the others ask; they ask every block of the cell."""
@@ -324,7 +324,7 @@ def unresolved(docs: DataFrame, members: DataFrame, roots: DataFrame, known: Dat
     finer = None
     if not level and not once.where("blocks > 1").isEmpty():
         crowded = written(rows.join(once.where("blocks > 1"), "cell").select("id").distinct())
-        finer = unresolved(docs, written(within(docs, known, crowded, rule)), roots, known, rule, level + 1)
+        finer = unresolved(written(within(docs, known, crowded, rule)), roots, known, rule, docs, level + 1)
         once = once.where("blocks = 1")
     data = rows.join(once, "cell").join(known.select("id", "n", "point"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -390,7 +390,7 @@ def ngram_join(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     again = written(bounded(second_tries(members, written(components(links))), known, rule).join(star, ["a", "b"], "left_anti"))
     links = links.unionByName(verified(docs, known, again, rule))
     star, roots = star.unionByName(again), written(components(links))
-    more = verified(docs, known, unresolved(docs, members, roots, known, rule).join(star, ["a", "b"], "left_anti"), rule)
+    more = verified(docs, known, unresolved(members, roots, known, rule, docs).join(star, ["a", "b"], "left_anti"), rule)
     roots = components(links.unionByName(more))
     named = known.select(F.col("id").alias("node"), "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
