@@ -58,10 +58,13 @@ def sentence_dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS
     later = found.join(repeated, ["x", "y"]).where(~place.eqNullSafe(F.col("first")))
     gone = later.groupBy("doc_id", "t").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", "last")))).alias("gone"))
     gone = gone.withColumnsRenamed({"doc_id": "_id", "t": "_t"})
-    parts = sentences(F.col("text"))
     rows = docs.select("doc_id", "text", text_key().alias("t"))
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
-    kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "")
-    return rows.select("doc_id", F.size(parts).cast("long").alias("n_sentences"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-                       F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("text"))
+    # as the element of an array the sentences are a variable below; named in the inner lambda they would be cut anew for each one that stays
+    cut = F.transform(F.array(sentences(F.col("text"))), lambda parts: F.struct(
+        F.size(parts).cast("long").alias("n"),
+        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone"), lambda i: F.get(parts, i)), "").alias("kept"),
+    ))
+    rows = rows.select("doc_id", "text", "gone", F.explode(cut).alias("c"))
+    return rows.select("doc_id", F.col("c.n").alias("n_sentences"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+                       F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.col("c.kept")).alias("text"))

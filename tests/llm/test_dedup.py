@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -270,3 +271,13 @@ def test_block_hashes_equal_single_ones():
     end = np.cumsum([len(t) for t in texts])
     got = hashing.block_shingles(np.frombuffer(b"".join(texts), np.uint8), end - [len(t) for t in texts], end, 4)
     assert all(np.array_equal(g, hashing.shingles(t, 4)) for g, t in zip(got, texts))
+
+
+def test_sentence_dedup_of_a_text_with_many_sentences(spark):
+    # cut anew for each sentence that stays, this text took minutes
+    lines = [f"Line {i} of a long text, with words enough to count." for i in range(12_000)]
+    rows = [(1, " ".join(lines[:2])), (2, " ".join(lines))]
+    start = time.monotonic()
+    got = {r.doc_id: r for r in sentence_dedup.sentence_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].n_sentences == 12_000 and got[2].n_removed == 2 and got[2].text == " ".join(lines[2:])
+    assert time.monotonic() - start < 60
