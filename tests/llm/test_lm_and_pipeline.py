@@ -208,3 +208,46 @@ def test_stages_keep_any_columns_and_take_empty_tables(stage, odd, nothing, spar
     if name == "ngram_join":  # of equal texts with words one stays, rows that share a number but no text both do
         full = [t for t in texts if t.split()]
         assert len(full) == len(set(full)) and b"no id and words of its own" in full and sum(r.doc_id == 11 for r in got.collect()) == 2
+
+
+def speller():
+    rng = np.random.default_rng(4)
+    known = [bytes(rng.choice(list(b"aeiounst"), rng.integers(2, 9)).astype(np.uint8)) for _ in range(3000)]
+    bits = lm_score.letter_bits(known)
+    tables, mixer = tally(lm_score.LETTERS.sizes, bits), Mixer(lm_score.LETTERS)
+    mixer.learn(tables, bits)
+    return known, tables, mixer
+
+
+def test_spelling_against_bit_by_bit():
+    known, tables, mixer = speller()
+    words, told = [*known[:30], b"", b"xyz\xc3\xbc", b"Q" * 40], np.arange(33) < 30
+    bits, (weights, fine) = lm_score.letter_bits(words), mixer.begun(1)
+    logits, gate = mixer.inputs(tables, bits, slice(None), told)
+    sigmoid = lambda z: 1 / (1 + math.exp(-max(-20, min(20, z))))
+    total, later = 0.0, []
+    for i in range(len(bits.bit)):
+        if i % 64 == 0:
+            for g, step, miss, x, bit in later:
+                weights[g] += 0.02 * miss * x
+                fine[step][bit] += 1
+            later = []
+        x, g, bit = np.array([c[i] for c in logits]), gate[i], bits.bit[i]
+        z = float(weights[g] @ x)
+        step = bits.kind[i] * 33 + round(max(-8, min(8, z)) * 2) + 16
+        q = max(1e-6, min(1 - 1e-6, 0.5 * sigmoid(z) + 0.5 * fine[step][1] / sum(fine[step])))
+        total += math.log10(q if bit else 1 - q)
+        later.append((g, step, bit - sigmoid(z), x, bit))
+    got = lm_score.spelling(words, told, np.ones(33, int), 3, tables, mixer)
+    assert got[0] == got[2] == 0 and math.isclose(got[1], total, rel_tol=1e-4)
+
+
+def test_spelling_goes_on_learning_along_a_text():
+    _, tables, mixer = speller()
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.choice(list(b"0123456789"), 6).astype(np.uint8)) for _ in range(400)]
+    told = np.zeros(400, bool)
+    apart = lm_score.spelling(words, told, np.arange(400), 400, tables, mixer)
+    assert lm_score.spelling(words, told, np.zeros(400, int), 1, tables, mixer)[0] > 0.95 * apart.sum()
+    # and does not learn across texts, nor depend on what else is in the block
+    assert np.allclose(lm_score.spelling(words[::-1], told, np.arange(400), 400, tables, mixer)[::-1], apart)
