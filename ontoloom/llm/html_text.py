@@ -5,12 +5,14 @@ what markup excludes: menus, headers, footers, sidebars, notices, adverts, forms
 class or id. The blocks outside marked articles of all pages of a host, token after token, make its suffix array, cut at
 the `depth` tokens that a repeat must have. Spark builds it by grouping suffixes on (host, first `depth` tokens); a group
 on at least two distinct pages and a `share` of the host's pages is boilerplate, its neighbours in the text extend it, and
-the tokens outside are the unique runs.
+the tokens outside are the unique runs. Blocks of marked articles enter the array whole, one suffix each, since what a site puts
+into its articles are whole blocks, while articles quote and repeat passages of each other.
 
-The array decides two things. A marked article (`article`, else `main`) is the page's text unless the page has more unique tokens outside of it:
+Every page goes through the array, which decides three things. A block of a marked article goes when it has `depth` tokens and stands in articles on most pages
+of the host, unless most of the article would go: then it is a copy and stays whole. A marked article (`article`, else `main`) is the page's text unless the page has more unique tokens outside of it:
 then the mark is a teaser, and the page is read as unmarked. Of an unmarked page the unique runs of all blocks that
 markup does not exclude stay, the rest goes; a page without any, the copy of a whole page, keeps its blocks. Inside
-a chosen article repeats stay: a host may hold an article, or a passage, twice.
+a chosen article rarer repeats stay: a host may hold an article, or a passage, twice.
 
 The grouping combines before its shuffle, so a host with a third of all pages costs no task more than others.
 Suffixes are compared by 128 bits of hash.
@@ -35,6 +37,8 @@ from .common import id_again, whole_id, written
 
 DEPTH = 8
 SHARE = 0.05
+#: A block of articles is boilerplate on more than this share of the pages of a host that has so many.
+ARTICLE_SHARE, ARTICLE_PAGES = 0.5, 4
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -156,36 +160,49 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def boilerplate(pages: DataFrame, depth: int, share: float) -> DataFrame:
-    """(row, covered): places in the token stream of a page's blocks outside its marked article where a repeat of `depth` tokens starts."""
-    outer = F.filter(F.arrays_zip("texts", "zones"), lambda b: b["zones"] != "own")
+    """(row, covered): places in the token stream of a page's blocks outside its marked article where a repeat of `depth` tokens starts,
+    and -1 - i for every block i of its article that most of the host's pages hold. Where a page shows its article only, the former are counted and not told."""
+    zipped = F.arrays_zip("texts", "zones")
+    outer = F.filter(zipped, lambda b: b["zones"] != "own")
     tokens = F.split(F.array_join(F.transform(outer, lambda b: b["texts"]), " "), " ")
-    rows = pages.select("row", "host", "page", tokens.alias("tokens")).where(F.size("tokens") >= depth)
+    inner = F.filter(F.transform(zipped, lambda b, i: F.struct((-1 - i).alias("at"), b["texts"].alias("text"), b["zones"].alias("zone"))), lambda b: b["zone"] == "own")
+    inner = F.filter(inner, lambda b: F.regexp_count(b["text"], F.lit(" ")) + 1 >= depth)
+    block = F.transform(inner, lambda b: F.struct(b["at"].alias("at"), F.xxhash64(b["text"]).alias("x"), F.xxhash64(F.lit(1), b["text"]).alias("y"), F.lit(True).alias("own")))
     hashes = lambda i: (F.xxhash64(F.slice("tokens", i, depth)), F.xxhash64(F.lit(1), F.slice("tokens", i, depth)))
-    suffix = F.transform(F.sequence(F.lit(1), F.size("tokens") - depth + 1), lambda i: F.struct((i - 1).alias("at"), hashes(i)[0].alias("x"), hashes(i)[1].alias("y")))
-    rows = rows.select("row", "host", "page", F.explode(suffix).alias("s")).select("row", "host", "page", "s.*")
+    suffix = F.transform(F.sequence(F.lit(1), F.size("tokens") - depth + 1), lambda i: F.struct((i - 1).alias("at"), hashes(i)[0].alias("x"), hashes(i)[1].alias("y"), F.lit(False).alias("own")))
+    bare = ~F.array_contains("zones", "page") & F.array_contains("zones", "own")
+    rows = pages.select("row", "host", "page", bare.alias("bare"), tokens.alias("tokens"), block.alias("blocks"))
+    entries = F.when(F.size("tokens") >= depth, F.concat(suffix, "blocks")).otherwise(F.col("blocks"))
+    rows = rows.select("row", "host", "page", "bare", F.explode(entries).alias("s")).select("row", "host", "page", "bare", "s.*")
     sizes = pages.groupBy("host").agg(F.count_distinct("page").alias("n_pages"))
-    groups = rows.select("host", "x", "y", "page").distinct().groupBy("host", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = groups.join(sizes, "host").where(F.col("n") >= share * F.col("n_pages")).select("host", "x", "y")
-    return rows.join(groups, ["host", "x", "y"], "left_semi").groupBy("row").agg(F.collect_set("at").alias("covered"))
+    groups = rows.select("host", "own", "x", "y", "page").distinct().groupBy("host", "own", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = F.when(F.col("own"), (F.col("n_pages") >= ARTICLE_PAGES) & (F.col("n") > ARTICLE_SHARE * F.col("n_pages"))).otherwise(F.col("n") >= share * F.col("n_pages"))
+    groups = groups.join(sizes, "host").where(often).select("host", "own", "x", "y")
+    told = rows.where(F.col("own") | ~F.col("bare"))
+    return told.join(groups, ["host", "own", "x", "y"], "left_semi").groupBy("row").agg(F.collect_set("at").alias("covered"))
 
 
 def _chosen(texts: list[str], zones: list[str], starts, depth: int) -> tuple[str, str]:
     """The text of a page and the route that gave it."""
-    gone = {p + k for p in starts for k in range(depth)}
+    gone = {p + k for p in starts if p >= 0 for k in range(depth)}
+    size = {i: t.count(" ") + 1 for i, (t, z) in enumerate(zip(texts, zones)) if z == "own"}
+    kept = {i: n for i, n in size.items() if -1 - i not in starts}
+    if 2 * sum(kept.values()) < sum(size.values()):  # repeated for the most part: a copy of an article
+        kept = size
     runs, at, fresh = [], 0, 0
-    for text, zone in zip(texts, zones):
-        words = text.split(" ")
+    for i, (text, zone) in enumerate(zip(texts, zones)):
         if zone == "own":
-            runs.append(text)
+            if i in kept:
+                runs.append(text)
             continue
-        left = [w for i, w in enumerate(words, at) if i not in gone]
+        words = text.split(" ")
+        left = [w for k, w in enumerate(words, at) if k not in gone]
         at += len(words)
         if zone == "page" and left:
             fresh += len(left)
             runs.append(" ".join(left))
-    own = [t for t, z in zip(texts, zones) if z == "own"]
-    if own and sum(t.count(" ") + 1 for t in own) >= fresh:
-        return "\n".join(own), "marked"
+    if size and sum(size.values()) >= fresh:
+        return "\n".join(texts[i] for i in kept), "marked"
     if runs:
         return "\n".join(runs), "unique"
     return "\n".join(t for t, z in zip(texts, zones) if z == "page"), "copy"
@@ -193,18 +210,16 @@ def _chosen(texts: list[str], zones: list[str], starts, depth: int) -> tuple[str
 
 def routed(pages: DataFrame, depth: int = DEPTH, share: float = SHARE) -> DataFrame:
     """page_id, url, text and route (marked, unique or copy) of every page."""
-    got = written(parsed(pages))
-    # a page whose visible blocks are all its article's needs no look at the array
-    plain = F.array_contains("zones", "own") & ~F.array_contains("zones", "page")
-    marked = got.where(plain).select("page_id", "url", F.array_join(F.transform(F.filter(F.arrays_zip("texts", "zones"), lambda b: b["zones"] == "own"), lambda b: b["texts"]), "\n").alias("text"), F.lit("marked").alias("route"))
-    rows = got.where(~plain).join(boilerplate(got, depth, share), "row", "left")
+    got = written(parsed(pages), "zstd")
+    # written, so that Spark knows its size and need not move texts to few repeats
+    rows = got.join(written(boilerplate(got, depth, share)), "row", "left")
 
     @F.pandas_udf("text string, route string")
     def choose(texts: pd.Series, zones: pd.Series, covered: pd.Series) -> pd.DataFrame:
-        out = [_chosen(t, z, c if isinstance(c, np.ndarray) else (), depth) for t, z, c in zip(texts, zones, covered)]
+        out = [_chosen(t, z, set(c.tolist()) if isinstance(c, np.ndarray) else (), depth) for t, z, c in zip(texts, zones, covered)]
         return pd.DataFrame(out, columns=["text", "route"])
 
-    return marked.unionByName(rows.select("page_id", "url", choose("texts", "zones", "covered").alias("c")).select("page_id", "url", "c.*"))
+    return rows.select("page_id", "url", choose("texts", "zones", "covered").alias("c")).select("page_id", "url", "c.*")
 
 
 def extract(pages: DataFrame, depth: int = DEPTH, share: float = SHARE) -> DataFrame:

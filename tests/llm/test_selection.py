@@ -224,3 +224,18 @@ def test_html_rows_are_told_apart_and_text_is_kept(spark):
     got = {r.page_id: (r.text, r.route) for r in html_text.routed(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == ("Press the Save key, see the name.\nkept\nup\nimpact", "marked")
     assert got[2] == ("More here\na long body of the page itself with many more words", "unique")
+
+
+def test_the_host_array_decides_inside_marked_articles(spark):
+    promo = "Write to our editors with any question you have about this story today"
+    page = lambda body: f"<nav>Menu of the site</nav><article>{body}</article>"
+    own = lambda k: f"<p>{' '.join(f'w{k}x{i}' for i in range(20))}</p>"
+    rows = [(k, f"http://h.example/{k}", page(own(k) + f"<p>{promo}</p>")) for k in range(6)]
+    rows += [(6, "http://h.example/6", page(own(0) + f"<p>{promo}</p>")), (7, "http://h.example/7", page(f"<p>{promo}</p>"))]  # a copy of an article; nothing but the repeat
+    rows += [(10 + k, f"http://few.example/{k}", page(own(k) + f"<p>{promo}</p>")) for k in range(3)]  # too few pages to tell
+    rows += [(20 + k, f"http://same.example/{k}", page(own(9) + own(8) + (own(7) if k else ""))) for k in range(5)]  # copies and a near copy
+    got = {r.page_id: (r.text, r.route) for r in html_text.routed(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda k: own(k)[3:-4]
+    assert all(got[k] == (text(k), "marked") for k in range(6)) and got[6][0] == text(0) and got[7][0] == promo
+    assert all(got[10 + k][0] == f"{text(k)}\n{promo}" for k in range(3))
+    assert got[20][0] == f"{text(9)}\n{text(8)}" and all(got[20 + k][0] == f"{text(9)}\n{text(8)}\n{text(7)}" for k in range(1, 5))
