@@ -31,7 +31,7 @@ CAPACITY = 2048
 MAX_PIECE = 512
 END_ID = 1
 PIECES_PER_BLOCK = 1024
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -41,30 +41,47 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class PieceIds(dict):
+    """Little-endian uint32 ids of pieces of lower-cased words, by the tokenizer's model alone; the first CACHED_WORDS are kept."""
+
+    #: The characters that stand for the bytes of a piece in the model's vocabulary.
+    byte_names = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+    def __init__(self, tokenizer):
+        self.model = tokenizer.model
+        self.packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+
+    def __missing__(self, piece: str) -> bytes:
+        name = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_names)
+        ids = b"".join([self.packed[t.id] for t in self.model.tokenize(name)])
+        if len(self) < CACHED_WORDS:
+            self[piece] = ids
+        return ids
+
+
 class WordIds(dict):
     """Little-endian uint32 ids of words. This tokenizer drops white space and never merges across it, so a
-    text's ids are those of its words joined; the first CACHED_WORDS words a worker meets are kept. Printable ASCII words go
-    straight to the tokenizer's model, piece by piece; other words are encoded by the tokenizer, as are whole
+    text's ids are those of its words joined; the first CACHED_WORDS words a worker meets are kept. Words of printable ASCII and
+    Latin-1 letters, which its normalizer only lower-cases, go piece by piece; other words are encoded by the tokenizer, as are whole
     texts with a separator that only Python takes for white space, or with a special token's text."""
 
     unusual = re.compile(r"[\x1c-\x1f]|<\|")
-    pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # fixed: the tokenizer's own pattern, for ASCII
+    plain = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+    pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")  # fixed: the tokenizer's own pattern, for plain words
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.piece_ids = PieceIds(self.tokenizer)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable():
-            low = word.lower()
-            parts = [low] if low.isalpha() else self.pieces.findall(low)
-            ids = np.array([t.id for p in parts for t in self.model.tokenize(p)], "<u4").tobytes()
+        if self.plain.fullmatch(word):
+            ids = b"".join(map(self.piece_ids.__getitem__, self.pieces.findall(word.lower())))
         else:
             ids = self.encode(word)
         if len(self) < CACHED_WORDS:

@@ -105,6 +105,20 @@ def test_words_have_the_tokenizers_ids():
         assert coder.text(t) == np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_plain_words_share_their_pieces(monkeypatch):
+    coder = packing.WordIds(packing.default_tokenizer())
+    letters = [chr(i) for i in range(33, 400)]
+    for t in (x for c in letters for x in (c, c * 2, f"a{c}B", f"{c}'S{c}", f"1{c}1")):
+        if t.split() == [t]:
+            assert coder.text(t) == coder.encode(t), t
+    want = coder.encode("Größe, GRÖSSE größe! 'größe' naïve")
+    monkeypatch.setattr(coder, "encode", None)  # plain words need no whole encoding
+    assert coder.text("Größe, GRÖSSE größe! 'größe' naïve") == want
+    before = len(coder.piece_ids)
+    coder.text("Größe!' GRÖßE, größe,größe NAÏVE")
+    assert len(coder.piece_ids) - before <= 1  # "!'" alone is new
+
+
 def test_toxicity_finds_planted_words(spark, nothing, odd):
     rng = np.random.default_rng(8)
     words = [f"{a}{b}" for a in ("re", "lo", "mi", "ta", "vo") for b in ("na", "dor", "sel", "tik", "pum")]
