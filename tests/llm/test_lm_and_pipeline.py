@@ -1,12 +1,16 @@
 import math
+import tracemalloc
+import weakref
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
-from ontoloom.llm import lm_score
+from ontoloom.llm import hashing, lm_score
 from ontoloom.llm.mixing_model import Mixer, tally
 
 from .conftest import SF
@@ -251,3 +255,38 @@ def test_spelling_goes_on_learning_along_a_text():
     assert lm_score.spelling(words, told, np.zeros(400, int), 1, tables, mixer)[0] > 0.95 * apart.sum()
     # and does not learn across texts, nor depend on what else is in the block
     assert np.allclose(lm_score.spelling(words[::-1], told, np.arange(400), 400, tables, mixer)[::-1], apart)
+
+
+def most_memory(of):
+    tracemalloc.start()
+    try:
+        of()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_block_takes_memory_in_proportion_to_its_tokens():
+    rng = np.random.default_rng(3)
+    text = b" ".join(b"w%d" % i for i in rng.integers(0, 10**6, 500_000))
+    a, start = np.frombuffer(text, np.uint8), np.array([0, len(text) // 2])
+    got, at = hashing.block_words(a, start)
+    half = len(text) // 2
+    assert (got == np.concatenate([hashing.words(text[:half]), hashing.words(text[half:])])).all() and len(at) == len(got)
+    assert most_memory(lambda: hashing.block_words(a, start)) < 8 * len(text)
+    n = 200_000
+    row = SimpleNamespace(decisions=lm_score._pack(rng.integers(0, 1 << 32, n)), asked=np.full(100, n // 100).tobytes())
+    assert most_memory(lambda: [None for _ in lm_score.unpacked(row).slots()]) < 48 * n
+
+
+def test_a_row_is_free_before_the_next_begins():
+    alive, most = [], []
+
+    def of(row):
+        most.append(sum(x() is not None for x in alive))
+        held = np.zeros(row.n)
+        alive.append(weakref.ref(held))
+        return pd.DataFrame({"n": [len(held)]})
+
+    frames = list(lm_score.each_row(of)(iter([pd.DataFrame({"n": [3, 4]}), pd.DataFrame({"n": [5]})])))
+    assert [f.n.iloc[0] for f in frames] == [3, 4, 5] and most == [0, 0, 0]
