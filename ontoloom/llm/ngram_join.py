@@ -4,9 +4,10 @@ A set's shingles are hashed into groups; the counts by group are its point, and
 points bound the overlap from above. Two sets link when den * overlap >= num * union (a `Rule`; 85 of 100 by default), which
 allows r = floor((|A| + |B|) * (den - num) / (den + num)) shingles in one but not in the other.
 
-Routing. Of r + 2 hashed groups, two linked sets agree on two in full (each differing shingle
-spoils one group at most), so linked sets meet in a cell named by a group and the hash of
-its content, or by two groups that are empty in both. r depends on the sizes, so sizes are cut into bands of ratio den/num and a set takes part
+Routing. Of r + 2 or more hashed groups, two linked sets agree on two in full (each differing shingle
+spoils one group at most). A set that fills more than r groups agrees with its partners on one that it fills, and there are so many groups that
+almost all sets do. So linked sets meet in a cell named by a group and the hash of
+its content, or, when neither fills more than r groups, by two groups that are empty in both. r depends on the sizes, so sizes are cut into bands of ratio den/num and a set takes part
 in its own band's cells and in the band's below; linked sets are in one band or in neighbours. Small sets meet in
 the cells of their first shingles in hash order instead (as many as cannot all be missing in a linked set).
 
@@ -86,6 +87,17 @@ def _spoiled(top: int, rule: Rule = RULE) -> int:
     return max(top - 2 * int(need(0, top, rule)), top - 1 - 2 * int(need(0, top - 1, rule)))
 
 
+@lru_cache(maxsize=4096)
+def _groups(r: int, least: int) -> int:
+    """Hashed groups, r + 2 at least, of which almost all sets of `least` shingles or more fill more than r: by three deviations."""
+    m = r + 2
+    while True:
+        none = np.exp(-least / m)  # a group's chance to be empty
+        if m - m * none - 3 * np.sqrt(m * none) > r or m > 3 * r:
+            return m
+        m += max(1, m >> 6)
+
+
 def cells(s: np.ndarray, rule: Rule = RULE) -> np.ndarray:
     """Names of the cells of a set of sorted shingle hashes."""
     bands = _bands(rule)
@@ -100,13 +112,13 @@ def cells(s: np.ndarray, rule: Rule = RULE) -> np.ndarray:
             first = s[: n - -(-rule.num * n // rule.den) + 1]
             out.append(hashing.mix(first + hashing.U(low)))
             continue
-        m = r + 2  # two groups at least agree in full
+        m = _groups(r, int(bands[low - 1]) + 1 if low else 1)  # two groups at least agree in full
         group = ((s >> hashing.U(32)) * hashing.U(m)) >> hashing.U(32)  # ascending, as s is
         at = np.searchsorted(group, np.arange(m + 1, dtype=np.uint64))
         held = np.diff(at)
         full = np.flatnonzero(held)
         out.append(hashing.mix((run[at[1:]] - run[at[:-1]])[full] + full.astype(np.uint64) * hashing.U(0x9E3779B97F4A7C15) + hashing.U(low)))
-        if m - len(full) > 1:  # pairs of groups that are both empty
+        if len(full) <= r:  # no full group need agree: pairs of groups that are both empty
             none = np.flatnonzero(held == 0).astype(np.uint64)
             i, j = np.triu_indices(len(none), 1)
             out.append(hashing.mix(none[i] * hashing.U(1 << 40) + none[j] * hashing.U(1 << 12) + hashing.U(low)))

@@ -281,3 +281,26 @@ def test_sentence_dedup_of_a_text_with_many_sentences(spark):
     got = {r.doc_id: r for r in sentence_dedup.sentence_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[2].n_sentences == 12_000 and got[2].n_removed == 2 and got[2].text == " ".join(lines[2:])
     assert time.monotonic() - start < 60
+
+
+@pytest.mark.parametrize("rule", [ngram_join.RULE, ngram_join.Rule(words=5, num=80)])
+def test_unlike_sets_do_not_meet_by_empty_groups(rule):
+    rng = np.random.default_rng(12)
+    for n in (120, 700, 5000):
+        some = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for _ in range(60)]
+        got = np.concatenate([np.unique(ngram_join.cells(s, rule)) for s in some])
+        assert len(np.unique(got)) > 0.999 * len(got)
+    for n in (22, 31, 48, 70, 130, 700, 5000):  # sets that just link meet, with few full groups as well
+        bands = ngram_join._bands(rule)
+        for k in range(40):
+            s = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            if k % 2:  # all hashes in a quarter of the range: most groups are empty
+                s = np.sort(s >> np.uint64(2))
+            less = np.sort(rng.choice(s, n - n * (rule.den - rule.num) // rule.den, replace=False))
+            spare = n * (rule.den - rule.num) // (rule.den + rule.num)
+            swap = np.unique(np.concatenate([rng.choice(s, n - spare, replace=False), rng.integers(0, 1 << 64, spare, dtype=np.uint64)]))
+            for t in (less, swap):
+                both = len(np.intersect1d(s, t))
+                assert rule.den * both >= rule.num * (len(s) + len(t) - both)
+                assert abs(int(np.searchsorted(bands, len(s))) - int(np.searchsorted(bands, len(t)))) <= 1
+                assert len(np.intersect1d(ngram_join.cells(s, rule), ngram_join.cells(t, rule)))
