@@ -9,14 +9,15 @@ spoils one group at most). A set that fills more than r groups agrees with its p
 almost all sets do. So linked sets meet in a cell named by a group and the hash of
 its content, or, when neither fills more than r groups, by two groups that are empty in both. r depends on the sizes, so sizes are cut into bands of ratio den/num and a set takes part
 in its own band's cells and in the band's below; linked sets are in one band or in neighbours. Small sets meet in
-the cells of their first shingles in hash order instead (as many as cannot all be missing in a linked set).
+the cells of their first shingles in hash order instead (as many as cannot all be missing in a linked set). A set that fills f > r groups agrees with its
+partners on f - r of them; so it leaves its f - r - 1 largest cells, those of common shingles first, and links with nothing when no more than these are shared.
 
 Joining. 1. Every set is paired with the leader of its largest cell and with the heaviest leader it meets in any; then those outside
 a cell's most frequent component with the heaviest of these. Pairs whose
 point bound is too small are dropped, the rest verified on the whole sets, and the links' components
 taken: a group of near copies becomes one. 2. Cells that still hold several components are
-searched in full: an R-tree over the members' points finds, for every member outside the cell's most frequent component, those of other
-components whose bound reaches the threshold; these pairs, and those of cells with two members only, are verified as well unless step 1 did.
+searched: an R-tree over the members' points finds, for every member outside the cell's most frequent component, those of other
+components whose bound reaches the threshold; these pairs, and those of cells with two members only, are verified as well unless step 1 did. Sets that meet in many cells are told as a pair in the first of these.
 The sets of cells larger than a block are routed once more by a second hash; what is still larger is searched block by
 block. Since pairs inside a component add nothing, no link between components is lost.
 
@@ -37,7 +38,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -48,6 +49,7 @@ from .suffix_dedup import ASKED, block_answers, block_requests, blocks, doc_ids,
 GROUPS = 256
 LEAF = 16
 BLOCK = 512
+FIRST = 8  # cells of a set by which pairs that meet earlier are known
 BLOOM_MAX_BITS = 1 << 27
 BYTES_PER_BUCKET = 8_000_000
 BLOCK_BYTES = 1_000_000
@@ -98,8 +100,9 @@ def _groups(r: int, least: int) -> int:
         m += max(1, m >> 6)
 
 
-def cells(s: np.ndarray, rule: Rule = RULE) -> np.ndarray:
-    """Names of the cells of a set of sorted shingle hashes."""
+def routes(s: np.ndarray, rule: Rule = RULE) -> list[tuple[int, np.ndarray, int]]:
+    """The size bands a set of sorted shingle hashes is routed in: the band, the names of its cells there, and its spare cells. A set
+    meets every partner in more cells than are spare, so of its cells as many as are spare need not be searched."""
     bands = _bands(rule)
     band, n, out = int(np.searchsorted(bands, len(s))), len(s), []
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s)])
@@ -110,25 +113,42 @@ def cells(s: np.ndarray, rule: Rule = RULE) -> np.ndarray:
             continue  # only equal sets link
         if top < SMALL:
             first = s[: n - -(-rule.num * n // rule.den) + 1]
-            out.append(hashing.mix(first + hashing.U(low)))
+            out.append((low, hashing.mix(first + hashing.U(low)), 0))
             continue
         m = _groups(r, int(bands[low - 1]) + 1 if low else 1)  # two groups at least agree in full
         group = ((s >> hashing.U(32)) * hashing.U(m)) >> hashing.U(32)  # ascending, as s is
         at = np.searchsorted(group, np.arange(m + 1, dtype=np.uint64))
         held = np.diff(at)
         full = np.flatnonzero(held)
-        out.append(hashing.mix((run[at[1:]] - run[at[:-1]])[full] + full.astype(np.uint64) * hashing.U(0x9E3779B97F4A7C15) + hashing.U(low)))
+        named = hashing.mix((run[at[1:]] - run[at[:-1]])[full] + full.astype(np.uint64) * hashing.U(0x9E3779B97F4A7C15) + hashing.U(low))
         if len(full) <= r:  # no full group need agree: pairs of groups that are both empty
             none = np.flatnonzero(held == 0).astype(np.uint64)
             i, j = np.triu_indices(len(none), 1)
-            out.append(hashing.mix(none[i] * hashing.U(1 << 40) + none[j] * hashing.U(1 << 12) + hashing.U(low)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            named = np.concatenate([named, hashing.mix(none[i] * hashing.U(1 << 40) + none[j] * hashing.U(1 << 12) + hashing.U(low))])
+        out.append((low, named, max(0, len(full) - r - 1)))  # r full groups at most are spoiled
+    return out
+
+
+def cells(s: np.ndarray, rule: Rule = RULE) -> np.ndarray:
+    """Names of the cells of a set of sorted shingle hashes."""
+    return np.concatenate([np.zeros(0, np.uint64), *(named for _, named, _ in routes(s, rule))])
 
 
-def second_cells(s: np.ndarray, rule: Rule) -> np.ndarray:
-    """Names of the cells of a second routing: the same set under another hash, so that what brought many sets
+def second_routes(s: np.ndarray, rule: Rule) -> list[tuple[int, np.ndarray, int]]:
+    """A second routing: the same set under another hash, so that what brought many sets
     together by chance or by one common shingle parts them again. Linked sets meet here as well."""
-    return cells(np.sort(hashing.mix(s ^ hashing.U(0xA0761D6478BD642F))), rule)
+    return routes(np.sort(hashing.mix(s ^ hashing.U(0xA0761D6478BD642F))), rule)
+
+
+MEMBER = "cell long, id long, band int, spare int"
+
+
+def _members(routed: list[tuple[int, list]]) -> tuple[np.ndarray, ...]:
+    """Cell, id, band and spare cells of the routes of sets, in columns."""
+    flat = [(named, i, band, spare) for i, got in routed for band, named, spare in got]
+    n = [len(x[0]) for x in flat]
+    cell = np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in flat)])
+    return cell, *(np.repeat(np.array([x[k] for x in flat], kind), n) for k, kind in ((1, np.int64), (2, np.int32), (3, np.int32)))
 
 
 def points(s: np.ndarray) -> bytes:
@@ -171,22 +191,30 @@ def sets(stored: DataFrame, rule: Rule) -> DataFrame:
     return stored.mapInPandas(read, "doc_id long, n long, id long, point binary")
 
 
-def _block_cells(row, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (cell, id) of a block, ordered by cell."""
-    got = [(cells(s, rule), _name(s)) for s in _block_sets(row, rule.words) if len(s)]
-    cell = np.concatenate([c for c, _ in got]) if got else np.zeros(0, np.uint64)
-    ids = np.repeat(np.array([i for _, i in got], np.int64), [len(c) for c, _ in got])
+def _block_cells(row, rule: Rule) -> tuple[np.ndarray, ...]:
+    """Distinct (cell, id) of a block, with band and spare, ordered by cell."""
+    cell, ids, band, spare = _members([(_name(s), routes(s, rule)) for s in _block_sets(row, rule.words) if len(s)])
     order = np.lexsort((ids, cell))
     cell, ids = cell[order], ids[order]
     new = np.ones(len(cell), bool)
     new[1:] = (cell[1:] != cell[:-1]) | (ids[1:] != ids[:-1])
-    return cell[new], ids[new]
+    return cell[new], ids[new], band[order][new], spare[order][new]
+
+
+def rarest(rows: DataFrame) -> DataFrame:
+    """(cell, id, size) of members (cell, id, band, spare), without cells of one set. Each set leaves as many of its largest cells of a band as are
+    spare. All order cells alike, so linked sets still meet in the smallest cell that both have: each has more than its spare ones at or above it."""
+    sized = rows.join(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "cell")
+    place = F.row_number().over(Window.partitionBy("id", "band").orderBy(F.desc("size"), F.desc("cell")))
+    kept = written(sized.withColumn("place", place).where("place > spare").select("cell", "id"))
+    return kept.join(kept.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "cell")
 
 
 def memberships(stored: DataFrame, n_buckets: int, rule: Rule) -> DataFrame:
     """(cell, id, size, weight, leader) of the cells that hold two sets or more. A set's weight is the size of all its cells; the
     heaviest leads a cell: it agrees with most others, as the text does that copies were made from. Blocks first ask, by 32 bits a cell and
-    bucket, which of their cells another block has too; only those and cells with two sets inside the block travel as rows."""
+    bucket, which of their cells another block has too; only those and cells with two sets inside the block travel as rows, and only of sets that share
+    more of a band's cells than are spare there: others link with nothing."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -200,14 +228,16 @@ def memberships(stored: DataFrame, n_buckets: int, rule: Rule) -> DataFrame:
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                cell, ids = _block_cells(row, rule)
+                cell, ids, band, spare = _block_cells(row, rule)
                 keys, group, count = np.unique(cell, return_inverse=True, return_counts=True)
                 if len(keys):
                     out = ((flags(row.bits, len(keys)) > 0) | (count > 1))[group]
-                    yield pd.DataFrame({"cell": cell[out].astype(np.int64), "id": ids[out]})
+                    got = pd.DataFrame({"cell": cell[out].astype(np.int64), "id": ids[out], "band": band[out], "spare": spare[out]})
+                    yield got[got.groupby(["id", "band"])["cell"].transform("size") > got.spare]
 
-    rows = written(known.mapInPandas(send, "cell long, id long").distinct())
-    sized = written(rows.join(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "cell"))
+    rows = written(known.mapInPandas(send, MEMBER).distinct())
+    sized = written(rarest(rows))
+    discard(rows)
     weight = sized.groupBy("id").agg(F.sum("size").alias("weight"))
     of = sized.join(weight, "id")
     return of.join(of.groupBy("cell").agg(F.max(F.struct("weight", "id")).alias("leader")), "cell").select("cell", "id", "size", "weight", "leader")
@@ -309,13 +339,17 @@ class RTree:
         return self.order[at]
 
 
-def _search(asked: pd.DataFrame, held: pd.DataFrame, rule: Rule) -> pd.DataFrame:
-    """Pairs of an asked and a held set of different components whose bound reaches what a link needs."""
+def _search(asked: pd.DataFrame, held: pd.DataFrame, cell: int, rule: Rule) -> pd.DataFrame:
+    """Pairs of an asked and a held set of different components whose bound reaches what a link needs. Pairs whose first cells show that they meet in
+    a cell before this one are left to that cell."""
     tree = RTree(_counts(held.point), held.n.to_numpy(np.int64))
     ids, roots, out = held.id.to_numpy(), held.root.to_numpy(), []
-    for q, n, i, root in zip(_counts(asked.point), asked.n, asked.id, asked.root):
+    first = np.stack(held["first"].to_list())
+    first = np.where(first < cell, first, cell)
+    for q, n, i, root, before in zip(_counts(asked.point), asked.n, asked.id, asked.root, asked["first"]):
         hit = tree.search(q, n, rule)
         hit = hit[(ids[hit] != i) & (roots[hit] != root)]
+        hit = hit[~np.isin(first[hit], before[before < cell]).any(1)]
         out.append(np.stack([np.minimum(ids[hit], i), np.maximum(ids[hit], i)], 1))
     return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
@@ -338,15 +372,19 @@ def unresolved(members: DataFrame, roots: DataFrame, known: DataFrame, rule: Rul
         crowded = written(rows.join(once.where("blocks > 1"), "cell").select("id").distinct())
         finer = unresolved(written(within(docs, known, crowded, rule)), roots, known, rule, docs, level + 1)
         once = once.where("blocks = 1")
-    data = rows.join(once, "cell").join(known.select("id", "n", "point"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    held = data.select("*", F.col("own").alias("block"), every.alias("part"), F.lit(False).alias("asks"))
-    asked = data.where("root <> most").select("*", every.alias("block"), F.col("own").alias("part"), F.lit(True).alias("asks"))
-    tasks = held.unionByName(asked).select("cell", "block", "part", "asks", "id", "root", "n", "point")
+    # a pair is told in the first cell of both that is searched, as far as the first few cells of each show it
+    first = rows.select("cell", "id").join(mixed.select("cell"), "cell").groupBy("id").agg(F.slice(F.array_sort(F.collect_list("cell")), 1, FIRST).alias("first"))
+    first = first.select("id", F.slice(F.concat("first", F.array_repeat(F.lit(np.iinfo(np.int64).max), FIRST)), 1, FIRST).alias("first"))
+    data = rows.join(once, "cell").join(known.select("id", "n", "point"), "id").join(first, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    asks, every = F.col("root") != F.col("most"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    alone = data.where("blocks = 1").select("*", F.lit(0).alias("block"), F.lit(0).alias("part"), asks.alias("asks"), F.lit(True).alias("held"))
+    held = data.where("blocks > 1").select("*", F.col("own").alias("block"), every.alias("part"), F.lit(False).alias("asks"), F.lit(True).alias("held"))
+    asked = data.where("blocks > 1").where(asks).select("*", every.alias("block"), F.col("own").alias("part"), F.lit(True).alias("asks"), F.lit(False).alias("held"))
+    tasks = alone.unionByName(held).unionByName(asked).select("cell", "block", "part", "asks", "held", "id", "root", "n", "point", "first")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf.asks.to_numpy(bool)
-        return _search(pdf[asks], pdf[~asks], rule) if asks.any() and not asks.all() else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        asks, held = pdf.asks.to_numpy(bool), pdf.held.to_numpy(bool)
+        return _search(pdf[asks], pdf[held], pdf.cell.iloc[0], rule) if asks.any() and held.any() else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     out = tasks.groupBy("cell", "block", "part").applyInPandas(search, "a long, b long").unionByName(two)
     return (out if finer is None else out.unionByName(finer)).distinct()
@@ -377,13 +415,12 @@ def within(docs: DataFrame, known: DataFrame, crowded: DataFrame, rule: Rule) ->
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [second_cells(np.frombuffer(s, np.uint64), rule) for s in pdf.s]
-            yield pd.DataFrame({"cell": np.concatenate(got).astype(np.int64) if got else [], "id": np.repeat(pdf.id.to_numpy(np.int64), [len(g) for g in got])})
+            cell, ids, band, spare = _members([(i, second_routes(np.frombuffer(s, np.uint64), rule)) for i, s in zip(pdf.id, pdf.s)])
+            yield pd.DataFrame({"cell": cell.astype(np.int64), "id": ids, "band": band, "spare": spare})
 
     with small_batches(docs.sparkSession, ROWS_OF_SETS):
-        rows = written(whole_sets(docs, known, crowded, rule).mapInPandas(route, "cell long, id long").distinct())
-    shared = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(shared.select("cell"), "cell", "left_semi")
+        rows = written(whole_sets(docs, known, crowded, rule).mapInPandas(route, MEMBER).distinct())
+    return rarest(rows).select("cell", "id")
 
 
 def ngram_join(docs: DataFrame, rule: Rule = RULE) -> DataFrame:

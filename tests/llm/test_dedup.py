@@ -4,6 +4,7 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from ontoloom.llm import exact_dedup, ngram_join, sentence_dedup, suffix_dedup
@@ -304,3 +305,29 @@ def test_unlike_sets_do_not_meet_by_empty_groups(rule):
                 assert rule.den * both >= rule.num * (len(s) + len(t) - both)
                 assert abs(int(np.searchsorted(bands, len(s))) - int(np.searchsorted(bands, len(t)))) <= 1
                 assert len(np.intersect1d(ngram_join.cells(s, rule), ngram_join.cells(t, rule)))
+
+
+@pytest.mark.parametrize("rule", [ngram_join.RULE, ngram_join.Rule(words=5, num=80)])
+def test_linked_sets_meet_in_a_cell_that_is_not_spare(rule):
+    rng, spared = np.random.default_rng(21), 0
+    for n in (25, 48, 70, 130, 700, 3000):
+        for _ in range(30):
+            s = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            k = n * (rule.den - rule.num) // (rule.den + rule.num)
+            t = np.unique(np.concatenate([rng.choice(s, n - k, replace=False), rng.integers(0, 1 << 64, k, dtype=np.uint64)]))
+            got = [{band: (named, spare) for band, named, spare in ngram_join.routes(x, rule)} for x in (s, t)]
+            order = rng.permutation(1 << 16)  # any order of cells, the same for both
+            place = lambda c: order[(c & np.uint64(0xFFFF)).astype(int)] * float(1 << 48) + (c >> np.uint64(16)).astype(float)
+            left = [{c for named, spare in x.values() for c in named[np.argsort(place(named))][: max(0, len(named) - spare)].tolist()} for x in got]
+            spared += sum(spare for x in got for _, spare in x.values())
+            assert left[0] & left[1]
+    assert spared > 1000
+
+
+def test_a_pair_is_told_in_the_first_of_its_cells():
+    rng = np.random.default_rng(22)
+    s = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    most = np.iinfo(np.int64).max
+    rows = pd.DataFrame({"id": [1, 2, 3], "n": 300, "root": [1, 2, 3], "point": [ngram_join.points(s)] * 3, "first": [np.array(x) for x in ([5, 7, most], [5, 7, 9], [7, 8, 9])]})
+    found = {cell: [tuple(x) for x in ngram_join._search(rows[rows.id.isin(held)], rows[rows.id.isin(held)], cell, ngram_join.RULE).to_numpy().tolist()] for cell, held in ((5, [1, 2]), (7, [1, 2, 3]), (9, [2, 3]))}
+    assert found == {5: [(1, 2)], 7: [(1, 3), (2, 3)], 9: []}
