@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from ontoloom.llm import hashing, lm_score
+from ontoloom.llm import hashing, lm_score, mixing_model
 from ontoloom.llm.mixing_model import Mixer, tally
 
 from .conftest import SF
@@ -290,3 +290,21 @@ def test_a_row_is_free_before_the_next_begins():
 
     frames = list(lm_score.each_row(of)(iter([pd.DataFrame({"n": [3, 4]}), pd.DataFrame({"n": [5]})])))
     assert [f.n.iloc[0] for f in frames] == [3, 4, 5] and most == [0, 0, 0]
+
+
+def test_a_document_alone_steps_as_it_does_among_others():
+    rng = np.random.default_rng(31)
+    size = np.array([900, 0, 130, 64, 1])
+    doc = np.repeat(np.arange(len(size)), size)
+    n = len(doc)
+    x, gate, kind, bit = rng.normal(size=(n, 4)).astype(np.float32), rng.integers(0, 6, n), rng.integers(0, 2, n), rng.integers(0, 2, n)
+    both = mixing_model.online(x, gate, 6, kind, bit, doc, len(size))
+    for d in range(len(size)):
+        w = doc == d
+        if w.any():
+            middle = mixing_model.sigmoid((np.arange(33) - 16) / 2)
+            state = np.full((6, 4), 1.25 / 4, np.float32), np.tile(np.stack([20 * (1 - middle), 20 * middle], 1), (2, 1))
+            alone = mixing_model.online(x[w], gate[w], 6, kind[w], bit[w], doc[w] * 0, 1, state=state)
+            assert abs(alone[0] - both[d]) < 1e-9
+            assert not np.array_equal(state[0], np.full((6, 4), 1.25 / 4, np.float32))
+    assert both[1] == 0
